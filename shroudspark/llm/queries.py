@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shroudspark.llm import decontaminate as _decontaminate
 from shroudspark.llm import line_dedup as _line_dedup
+from shroudspark.llm import order_minhash as _order_minhash
 from shroudspark.llm._common import read
 
 
@@ -34,6 +35,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_minhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return _decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -41,6 +46,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_order_minhash": op4_order_minhash,
     "op7_decontamination": op7_decontamination,
 }
 
