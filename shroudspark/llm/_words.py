@@ -139,3 +139,15 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     running = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * up[:n], out=running[1:])
     return mix64((running[size:] - running[:-size]) * down[: n - size + 1])
+
+
+def prefix_hashes(words: Words, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of every word, unlike that of a whole word."""
+    out = np.full(len(words.start), np.uint64(size), dtype=np.uint64)
+    length = words.end - words.start
+    for k in range(size):
+        live = length > k
+        step = np.zeros(len(out), dtype=np.uint64)
+        step[live] = words.data[words.start[live] + k].astype(np.uint64) + np.uint64(1)
+        out = out * _BASE + step
+    return mix64(out)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shroudspark.llm import decontaminate as _decontaminate
+from shroudspark.llm import factorisation_machine as _factorisation_machine
 from shroudspark.llm import line_dedup as _line_dedup
 from shroudspark.llm import order_minhash as _order_minhash
 from shroudspark.llm._common import read
@@ -44,10 +45,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    docs = read(spark, sf_dir, "documents")
+    return _factorisation_machine.keep_good(docs, read(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
     "op7_decontamination": op7_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
