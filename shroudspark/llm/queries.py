@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shroudspark.llm import byte_bpe as _byte_bpe
 from shroudspark.llm import decontaminate as _decontaminate
 from shroudspark.llm import factorisation_machine as _factorisation_machine
 from shroudspark.llm import line_dedup as _line_dedup
@@ -45,6 +46,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _byte_bpe.encode(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     docs = read(spark, sf_dir, "documents")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
     "op7_decontamination": op7_decontamination,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
