@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.llm._align import similarity
-from shroudspark.llm._common import drop_table, map_arrow, materialise, with_text
+from shroudspark.llm._common import map_arrow, materialise
 from shroudspark.llm._words import Words, chunks, mix64, window_hashes, words_of
 from shroudspark.llm.components import components
 

@@ -11,6 +11,7 @@ from shroudspark.llm import decontaminate as _decontaminate
 from shroudspark.llm import factorisation_machine as _factorisation_machine
 from shroudspark.llm import line_dedup as _line_dedup
 from shroudspark.llm import order_minhash as _order_minhash
+from shroudspark.llm import suffix_ranks as _suffix_ranks
 from shroudspark.llm._common import read
 
 
@@ -41,6 +42,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_minhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix_ranks.repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return _decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -59,6 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
+    "op6_suffix_array": op6_suffix_array,
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_classifier": op10_quality_classifier,
