@@ -11,6 +11,7 @@ from shroudspark.llm import byte_bpe as _byte_bpe
 from shroudspark.llm import chat_format as _chat_format
 from shroudspark.llm import decontaminate as _decontaminate
 from shroudspark.llm import factorisation_machine as _factorisation_machine
+from shroudspark.llm import html_extract as _html_extract
 from shroudspark.llm import line_dedup as _line_dedup
 from shroudspark.llm import order_minhash as _order_minhash
 from shroudspark.llm import suffix_ranks as _suffix_ranks
@@ -44,6 +45,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_minhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_extract.extract(read(spark, sf_dir, "pages")).drop("html")
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suffix_ranks.repeats(read(spark, sf_dir, "documents"))
 
@@ -114,6 +119,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
+    "op5_html_extraction": op5_html_extraction,
     "op6_suffix_array": op6_suffix_array,
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
