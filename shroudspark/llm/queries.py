@@ -14,10 +14,15 @@ from shroudspark.llm import factorisation_machine as _factorisation_machine
 from shroudspark.llm import html_extract as _html_extract
 from shroudspark.llm import line_dedup as _line_dedup
 from shroudspark.llm import order_minhash as _order_minhash
+from shroudspark.llm import skip_chain as _skip_chain
 from shroudspark.llm import suffix_ranks as _suffix_ranks
 from shroudspark.llm._common import read
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skip_chain.entities(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return _line_dedup.dedup_lines(docs)
@@ -117,6 +122,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
     "op5_html_extraction": op5_html_extraction,
