@@ -12,6 +12,7 @@ from shroudspark.llm import chat_format as _chat_format
 from shroudspark.llm import decontaminate as _decontaminate
 from shroudspark.llm import factorisation_machine as _factorisation_machine
 from shroudspark.llm import html_extract as _html_extract
+from shroudspark.llm import kmeans_tree as _kmeans_tree
 from shroudspark.llm import line_dedup as _line_dedup
 from shroudspark.llm import order_minhash as _order_minhash
 from shroudspark.llm import skip_chain as _skip_chain
@@ -19,6 +20,10 @@ from shroudspark.llm import suffix_ranks as _suffix_ranks
 from shroudspark.llm._common import read
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kmeans_tree.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _skip_chain.entities(read(spark, sf_dir, "documents"))
 
@@ -122,6 +127,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
