@@ -250,19 +250,15 @@ def train(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str =
     """
     found = labels.filter("quality is not null and toxic is not null").groupBy(F.col(id_col).cast("bigint").alias("__id")).agg(F.min("quality").alias("__q"), F.min("toxic").alias("__t"))
     names = [m for m in meta if m in docs.columns]
+    text = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), *(F.col(m).cast("string").alias(f"__meta{k}") for k, m in enumerate(names))).filter("__text is not null and __id is not null")
+    size = text.agg(F.avg(F.octet_length("__text"))).first()[0] or 1.0
+    number = max(1, min(plan.sample, int(plan.sample_bytes / max(size, 1.0))))
+    # Ids alone are ordered, and few more than wanted, so what meets in one task is small at any size.
     total = found.count()
-    share = min(1.0, 1.25 * plan.sample / max(total, 1))
-    spot = F.pmod(F.xxhash64("__id", F.lit(plan.seed)), F.lit(1 << 20))
-    drawn = found.filter(spot < int(share * (1 << 20)) + 1)
-    rows = (
-        docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), *(F.col(m).cast("string").alias(f"__meta{k}") for k, m in enumerate(names)))
-        .filter("__text is not null")
-        .join(F.broadcast(drawn), "__id")  # at most 1.25 * plan.sample ids
-        .withColumn("__spot", F.xxhash64("__id", F.lit(plan.seed + 1)))
-    )
-    size = rows.agg(F.avg(F.octet_length("__text"))).first()[0] or 1.0
-    number = max(1, min(plan.sample, int(plan.sample_bytes / size)))
-    table = rows.orderBy("__spot", "__id", "__text").limit(number).toArrow()
+    spot = F.xxhash64("__id", F.lit(plan.seed))
+    some = found if total <= 2 * number else found.filter(F.pmod(spot, F.lit(1 << 30)) < int((1 << 30) * 1.5 * number / total))
+    drawn = some.orderBy(spot, "__id").limit(number)
+    table = text.join(F.broadcast(drawn), "__id").toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
     column = lambda name: table[name].combine_chunks() if table.num_rows else pa.array([], pa.string())
     return train_on(
         column("__text"),
