@@ -15,6 +15,11 @@ SPAN = "struct<type:string,start:int,end:int,score:double,value:string>"
 NO_SPANS = f"CAST(array() AS array<{SPAN}>)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, also where ``body`` uses it in lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Texts of all matches, for uses without offsets."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -67,6 +67,17 @@ SECRETS: tuple[tuple[str, float, tuple[str, ...]], ...] = (
     (r"\bBearer\s+[A-Za-z0-9._~+/-]{16,}=*", 0.7, ("bearer",)),
 )
 
+#: With a country code, an area in brackets, a trunk zero, a freephone prefix, or as 3-3-4 digits.
+PHONE = "|".join(
+    (
+        r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\) ?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}\b",
+        r"\([0-9]{2,4}\) ?[0-9]{3,4}[ -]?[0-9]{3,4}\b",
+        r"\b0[1-9][0-9]{0,2}(?:[ -][0-9]{2,4}){2,3}\b",
+        r"\b04[0-9]{8}\b",
+        r"\b1[38]00[ -]?[0-9]{3}[ -]?[0-9]{3}\b",
+        r"\b[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}\b",
+    )
+)
 _MONTHS = "|".join("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())
 
 DETECTORS: tuple[Detector, ...] = (
@@ -84,7 +95,7 @@ DETECTORS: tuple[Detector, ...] = (
     Detector("IP_ADDRESS", _groups("1,3", "1,3", "1,3", "1,3", gap=r"\."), 0.95, checksums.valid_ipv4, lambda t: t.rlike(r"[0-9]\.[0-9]")),
     Detector(
         "PHONE_NUMBER",
-        r"(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\) ?|\b[0-9]{2,4}[ -])[0-9]{3,4}[ -]?[0-9]{3,4}\b|\+[0-9]{8,15}\b",
+        PHONE,
         0.5,
         lambda v: F.length(only_digits(v)).between(7, 15),
         lambda t: t.rlike("[0-9]{3}"),
@@ -157,13 +168,15 @@ def account_spans(text: Column, settings: Settings) -> Column:
     numbers = spans.find(text, settings.account_pattern, "AU_BANK_ACCOUNT", 0.85)
     lo, hi = settings.account_digits
 
-    def near(s: Column) -> Column:
+    def near(s: Column, codes: Column) -> Column:
         fits = F.length(only_digits(s["value"])).between(lo, hi)
-        own = F.exists(branches, lambda b: spans.overlaps(s["start"], s["end"], b))
-        reach = F.exists(branches, lambda b: F.least(F.abs(s["start"] - b["end"]), F.abs(b["start"] - s["end"])) <= settings.account_reach)
+        own = F.exists(codes, lambda b: spans.overlaps(s["start"], s["end"], b))
+        reach = F.exists(codes, lambda b: F.least(F.abs(s["start"] - b["end"]), F.abs(b["start"] - s["end"])) <= settings.account_reach)
         return fits & ~own & reach
 
-    return spans.guarded(text.rlike(settings.branch_pattern), spans.keep(numbers, near))
+    both = F.struct(numbers.alias("numbers"), branches.alias("codes"))
+    found = spans.let(both, lambda p: spans.keep(p["numbers"], lambda s: near(s, p["codes"])))
+    return spans.guarded(text.rlike(settings.branch_pattern), found)
 
 
 def secret_spans(text: Column, settings: Settings) -> Column:
@@ -184,9 +197,8 @@ def phone_survives(value: Column, low: Column) -> Column:
 def precise(found: Column, text: Column, settings: Settings) -> Column:
     """What is left of spans: enough score, context words where a type needs them, and in
     strict mode letters, unless the type is proven or a phone survives, and no digits in model names."""
-    low = F.lower(text)
 
-    def test(s: Column) -> Column:
+    def test(s: Column, low: Column) -> Column:
         ok = s["score"] >= settings.threshold
         for kind, words in settings.context.items():
             ok = ok & ((s["type"] != kind) | contains_any(low, words))
@@ -196,7 +208,8 @@ def precise(found: Column, text: Column, settings: Settings) -> Column:
             ok = ok & ~(s["type"].isin(*MODEL_TYPES) & has_digit(s["value"]))
         return ok
 
-    return spans.keep(found, test)
+    both = F.struct(found.alias("found"), F.lower(text).alias("low"))
+    return spans.let(both, lambda p: spans.keep(p["found"], lambda s: test(s, p["low"])))
 
 
 def span_column(text: Column, settings: Settings = Settings(), model: Callable[[Column], Column] | None = None) -> Column:
