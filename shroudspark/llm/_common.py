@@ -31,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that batches of texts for Python are measured in bytes.
+
+    A batch of the default 10,000 rows holds tens of megabytes of text, several times
+    over in the JVM, in Arrow and in Python.  The session keeps a smaller limit.
+    """
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if bytes_now <= 0 or bytes_now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, no recomputation."""
     spark = df.sparkSession
@@ -68,4 +85,4 @@ def map_arrow(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], sc
             if batch.num_rows:
                 yield one(batch)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)

@@ -55,7 +55,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(1 << 16, 1 << (n - 1).bit_length())
             inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
             for name, step in (("up", _BASE), ("down", inverse)):
                 powers = np.full(size, step, dtype=np.uint64)
@@ -93,7 +93,7 @@ def string_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def chunks(array: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(array: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of about ``most_bytes`` each; a longer row stands alone."""
     _, at = string_buffer(array)
     lo, n = 0, len(array)

@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by replaying merges over a corpus of words.
 
-The texts of an Arrow batch are one corpus: they are split into words, each distinct
+The texts of a block of batches are one corpus: they are split into words, each distinct
 word is laid out once as a run of symbols, and an inverted index leads from a pair of
 symbols to its positions.  Merges are then applied in rank order, each at all its
 positions at once, and only the pairs to the left and right of a merge are indexed
-anew.  Merges never cross words, so how texts are cut into batches can't change an id.
+anew.  Merges never cross words, so how texts are cut into blocks can't change an id.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroudspark.llm._common import bounded_batches
 from shroudspark.llm._words import _powers, chunks, mix64, string_buffer
 
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.json")
@@ -245,6 +246,21 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) ->
     return data, out[offsets]
 
 
+BLOCK_BYTES = 16 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to blocks of about ``BLOCK_BYTES``, so that fewer words are replayed twice."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``token_ids``, ``n_tokens``, ``round_trip``) of every row.
 
@@ -258,7 +274,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
-        for batch in batches:
+        for batch in _blocks(batches):
             texts = batch.column(1)
             for lo, hi, ids, offsets in encode_texts(vocabulary, texts):
                 rows = texts.slice(lo, hi - lo)
@@ -281,7 +297,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
                 )
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"i {id_type}, token_ids array<int>, n_tokens int, round_trip boolean").withColumnRenamed("i", id_col)
+    return bounded_batches(rows).mapInArrow(run, f"i {id_type}, token_ids array<int>, n_tokens int, round_trip boolean").withColumnRenamed("i", id_col)
 
 
 def decode(encoded: DataFrame, path: str = TOKENIZER, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroudspark.llm._common import with_text
+from shroudspark.llm._common import bounded_batches, with_text
 from shroudspark.llm._words import Words, chunks, mix64, words_of
 
 SPANS = "array<struct<start:int,end:int,item_id:bigint,words:int,coverage:double>>"
@@ -234,7 +234,7 @@ def _contamination(
         )
         return pa.StructArray.from_arrays([pa.array(spans, kind), pa.array(shares, pa.float64())], names=["spans", "share"])
 
-    return docs.withColumn("__found", find(F.col(text_col))).withColumns({"__spans": F.col("__found.spans"), "__share": F.col("__found.share")}).drop("__found")
+    return bounded_batches(docs).withColumn("__found", find.asNondeterministic()(F.col(text_col))).withColumns({"__spans": F.col("__found.spans"), "__share": F.col("__found.share")}).drop("__found")
 
 
 def _cut(text: str, spans: str) -> F.Column:

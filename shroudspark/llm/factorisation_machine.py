@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroudspark.llm._common import bounded_batches
 from shroudspark.llm._words import chunks, mix64, prefix_hashes, string_buffer, words_of
 
 
@@ -284,7 +285,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(found[h]) for h in HEADS], names=list(HEADS))
 
     plan = model.plan
-    scored = docs.withColumn("__p", probabilities.asNondeterministic()(F.col(text_col), *(F.col(m).cast("string") for m in model.meta)))
+    scored = bounded_batches(docs).withColumn("__p", probabilities.asNondeterministic()(F.col(text_col), *(F.col(m).cast("string") for m in model.meta)))
     return scored.withColumns(
         {
             "p_quality": F.round("__p.quality", 6),

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroudspark.llm._common import bounded_batches
+
 
 class Plan(NamedTuple):
     """Parameters; the defaults are the production values."""
@@ -140,5 +142,5 @@ def extract(pages: DataFrame, plan: Plan = Plan(), html_col: str = "html") -> Da
         columns = zip(*out) if out else ([], [], [], [])
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["title", "content", "n_lines", "n_content"])
 
-    found = pages.withColumn("__page", run.asNondeterministic()(F.col(html_col)))
+    found = bounded_batches(pages).withColumn("__page", run.asNondeterministic()(F.col(html_col)))
     return found.withColumns({c: F.col(f"__page.{c}") for c in ("title", "content", "n_lines", "n_content")}).drop("__page")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.llm._align import similarity
-from shroudspark.llm._common import map_arrow, materialise
+from shroudspark.llm._common import bounded_batches, map_arrow, materialise
 from shroudspark.llm._words import Words, chunks, mix64, window_hashes, words_of
 from shroudspark.llm.components import components
 
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
                         out_s.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], names=["a", "b", "similarity"])
 
-    return rows.mapInArrow(align, "a bigint, b bigint, similarity double")
+    return bounded_batches(rows).mapInArrow(align, "a bigint, b bigint, similarity double")
 
 
 def duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shroudspark.llm._common import map_arrow, materialise, with_text
+from shroudspark.llm._common import bounded_batches, map_arrow, materialise, with_text
 from shroudspark.llm._words import chunks, mix64, string_buffer, window_hashes, words_of
 from shroudspark.llm.order_minhash import _fingerprints
 
@@ -143,7 +143,7 @@ def _first_pairs(texts: DataFrame, plan: Plan) -> DataFrame:
                         names=["key", "f1", "pos"],
                     )
 
-    return texts.mapInArrow(run, "key bigint, f1 bigint, pos int")
+    return bounded_batches(texts).mapInArrow(run, "key bigint, f1 bigint, pos int")
 
 
 def _shifts(plan: Plan) -> list[int]:
