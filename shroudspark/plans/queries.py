@@ -279,7 +279,7 @@ def ner_digit_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT o_orderkey, CASE WHEN r <= 40 AND r <> 1 THEN 1 ELSE 0 END AS n, CASE WHEN r <= 40 AND r <> 1 THEN 11 + greatest(r, 1) END AS "start"
+SELECT o_orderkey, CASE WHEN r <= 40 AND r <> 1 THEN 1 ELSE 0 END AS n, CASE WHEN r <= 40 AND r <> 1 THEN CAST(11 + greatest(r, 1) AS INTEGER) END AS "start"
 FROM (SELECT o_orderkey, o_orderkey % 45 AS r FROM orders)
 """)
 def bsb_account_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,9 +297,9 @@ _STATES = ("NSW 2000", "VIC 3000", "QLD 2000", "TAS 7001", "")
 
 
 @query(
-    "SELECT s_suppkey, 4 AS \"start\", 4 + length('12 Kings Road') + CASE s_suppkey % 5 "
+    "SELECT s_suppkey, 4 AS \"start\", CAST(4 + length('12 Kings Road') + CASE s_suppkey % 5 "
     + " ".join(f"WHEN {k} THEN {len(', Mosman ' + s) - (4 if s.startswith('QLD') else 0) - (1 if not s else 0)}" for k, s in enumerate(_STATES))
-    + " END AS \"end\", 0.85 AS score FROM supplier"
+    + " END AS INTEGER) AS \"end\", CAST(0.85 AS DOUBLE) AS score FROM supplier"
 )
 def address_postcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets with suburbs: a postcode of another state ends the address before it."""
