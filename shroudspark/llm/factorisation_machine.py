@@ -28,6 +28,7 @@ class Plan(NamedTuple):
     least_z: float = 6.0  # and standard errors by which its share differs between the classes of a head
     rank: int = 6
     epochs: int = 8
+    steps: int = 600  # batches, at least: a small sample is gone through more often
     batch: int = 128
     rate: float = 1.0
     pace: float = 10.0  # of structure and metadata, times the rate of words
@@ -157,7 +158,8 @@ class Machine:
         plan, rng = self.plan, np.random.default_rng(self.plan.seed)
         gw, gv, gb = np.full_like(self.w, plan.damp), np.full(len(self.w), plan.damp, dtype=np.float32), plan.damp
         number = np.diff(x.first)
-        for _ in range(plan.epochs):
+        batches = max(1, -(-len(y) // plan.batch))
+        for _ in range(max(plan.epochs, -(-plan.steps // batches))):
             order = rng.permutation(len(y))
             for lo in range(0, len(order), plan.batch):
                 rows = order[lo : lo + plan.batch]
