@@ -131,7 +131,7 @@ def build(documents: list[list[tuple[int, Token]]]) -> Graph:
                 edges.append((base + k - 1, base + k, 0))
             key = re.sub(r"[\W_]+", "", token.text).lower()
             if len(key) >= 4:
-                if key in last and last[key] != base + k - 1:
+                if key in last and not (before and last[key] == base + k - 1):  # direct neighbours share the chain already
                     edges.append((last[key], base + k, 1))
                 last[key] = base + k
     return Graph(features, np.array(walls, dtype=float), np.array(edges, dtype=np.int64).reshape(-1, 3))
