@@ -47,7 +47,7 @@ def label_by_table(paths: DataFrame, rules: DataFrame, path_col: str = "path", d
         F.array_sort(F.collect_list(F.struct("ord", "__pattern", "__label"))).alias("__rules")
     )
     low = F.lower(F.col(path_col))
-    last = F.try_element_at(F.filter("__rules", lambda r: low.rlike(r["__pattern"])), F.lit(-1))["__label"]
+    last = F.try_element_at(F.filter("__rules", lambda r: F.regexp_like(low, r["__pattern"])), F.lit(-1))["__label"]
     return paths.crossJoin(F.broadcast(listed)).withColumn("label", F.coalesce(last, F.lit(default))).drop("__rules")
 
 
