@@ -16,7 +16,9 @@ def redact(df: DataFrame, text_col: str = "text", settings: Settings = Settings(
     found = with_spans(df, text_col, settings, model, "__spans")
     if known is not None:
         found = found.withColumn("__spans", F.concat("__spans", F.coalesce(known(F.col(text_col)), F.expr(spans.NO_SPANS))))
-    return found.withColumn(text_col, spans.mask(F.col(text_col), F.col("__spans"))).drop("__spans")
+    # Generated, not projected: filters on the text aren't pushed through and planned with all detectors again.
+    masked = F.inline(F.array(F.struct(spans.mask(F.col(text_col), F.col("__spans")).alias(text_col))))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns if c != text_col), masked).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def forms(terms: DataFrame, term_col: str = "term") -> DataFrame:
