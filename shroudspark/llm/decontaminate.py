@@ -139,9 +139,18 @@ def _candidate_runs(words: Words, automaton: Automaton, least: int) -> Iterator[
         yield int(row[a]), a, b
 
 
-def find_spans(words: Words, automaton: Automaton, limits: Limits) -> dict[int, list[tuple[int, int, int, int, float]]]:
-    """Row to its spans (first word, end word, item, longest match, coverage), in text order."""
+def find_spans(words: Words, automaton: Automaton | Sequence[Automaton], limits: Limits) -> dict[int, list[tuple[int, int, int, int, float]]]:
+    """Row to its spans (first word, end word, item, longest match, coverage), in text order.
+
+    The matches of all lots of items are merged together, so lots can't matter.
+    """
     found: dict[int, list[tuple[int, int, int, int, float]]] = {}
+    for one in [automaton] if isinstance(automaton, Automaton) else automaton:
+        _add_matches(found, words, one, limits)
+    return {row: merge_spans(spans, limits.gap) for row, spans in found.items()}
+
+
+def _add_matches(found: dict[int, list[tuple[int, int, int, int, float]]], words: Words, automaton: Automaton, limits: Limits) -> None:
     for row, a, b in _candidate_runs(words, automaton, min(limits.least, limits.length)):
         base = int(words.first[row])
         for end, length, state in automaton.matches(words.hashes[a:b].tolist()):
@@ -149,7 +158,6 @@ def find_spans(words: Words, automaton: Automaton, limits: Limits) -> dict[int,
             if length >= limits.length or (length >= limits.least and length >= limits.coverage * size):
                 span = (a - base + end - length, a - base + end, item, length, length / size)
                 found.setdefault(row, []).append(span)
-    return {row: merge_spans(spans, limits.gap) for row, spans in found.items()}
 
 
 def merge_spans(spans: list[tuple], gap: int) -> list[tuple]:
@@ -170,13 +178,13 @@ def _char_offsets(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((data[lo:hi] & 0xC0) != 0x80)))
 
 
-def scan(texts: pa.Array, automaton: Automaton, limits: Limits) -> tuple[list[list[dict]], list[float]]:
+def scan(texts: pa.Array, automata: Sequence[Automaton], limits: Limits) -> tuple[list[list[dict]], list[float]]:
     """Per row: its spans in characters, and the share of its words inside them."""
     spans: list[list[dict]] = []
     shares: list[float] = []
     for lo, hi in chunks(texts):
         words = words_of(texts.slice(lo, hi - lo))
-        found = find_spans(words, automaton, limits)
+        found = find_spans(words, automata, limits)
         for row in range(hi - lo):
             if row not in found:
                 spans.append([])
@@ -224,11 +232,7 @@ def _contamination(
 
     @F.arrow_udf(f"struct<spans:{SPANS},share:double>")
     def find(texts: pa.Array) -> pa.Array:
-        spans, shares = scan(texts, lots[0].value, limits)
-        for more in lots[1:]:
-            for row, (extra, share) in enumerate(zip(*scan(texts, more.value, limits))):
-                spans[row] += extra
-                shares[row] = min(1.0, shares[row] + share)
+        spans, shares = scan(texts, [lot.value for lot in lots], limits)
         kind = pa.list_(
             pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64()), ("words", pa.int32()), ("coverage", pa.float64())])
         )

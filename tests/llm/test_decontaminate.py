@@ -94,3 +94,23 @@ def test_empty_tables(spark, make_docs):
     docs = make_docs([(1, ITEM)])
     assert contaminated(docs, none).count() == 0 and decontaminate(docs, none).count() == 1
     assert contaminated(make_docs([]), none).count() == 0
+
+
+def test_lots_are_merged_before_texts_are_cut(spark, make_docs):
+    rng = random.Random(3)
+    passage = " ".join(f"p{j}" for j in range(14))
+    texts = [" ".join(f"i{k}w{j}" for j in range(15)) for k in range(12)]
+    texts += [f"{passage} one tail of its own", f"other words in front {passage}"]
+    items = spark.createDataFrame(list(enumerate(texts)), ITEMS)
+    docs = []
+    for k in range(30):
+        parts = rng.sample(texts[:12], 3) + ([passage] if k % 2 else [])
+        rng.shuffle(parts)
+        docs.append((k, " ".join(f"{part} " + " ".join(f"z{k}x{n}y{j}" for j in range(30 + k % 3)) for n, part in enumerate(parts))))
+    docs += [(100, passage + " " + " ".join(f"z{j}" for j in range(30)))]
+    table = make_docs(docs)
+    whole = {r["doc_id"]: r for r in contaminated(table, items).collect()}
+    lots = {r["doc_id"]: r for r in contaminated(table, items, most_bytes=150).collect()}
+    assert whole == lots and len(whole) == 31
+    assert not lots[100]["dropped"] and lots[100]["share"] == round(14 / 44, 6)
+    assert not any(f"i{k}w0 " in r["clean_text"] for k in range(12) for r in lots.values() if r["clean_text"])
