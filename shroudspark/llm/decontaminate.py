@@ -38,6 +38,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.long = [-1], [0]
         self.best: list[tuple[int, int] | None] = [None]
+        self._told: dict[Limits, list[int]] = {}
         for item_id, words in items:
             last = 0
             for word in words:
@@ -104,6 +105,41 @@ class Automaton:
         if length:
             yield len(words), length, state
 
+    def told(self, limits: Limits) -> list[int]:
+        """Per state, the nearest one on its way of suffix links whose longest string is contamination; 0 for none."""
+        if limits not in self._told:
+            told = [0] * len(self.long)
+            for state in sorted(range(1, len(self.long)), key=self.long.__getitem__):
+                told[state] = state if self.counts(state, self.long[state], limits) else told[self.link[state]]
+            self._told[limits] = told
+        return self._told[limits]
+
+    def counts(self, state: int, length: int, limits: Limits) -> bool:
+        """Whether a match of so many words is contamination by the state's shortest item."""
+        return length >= limits.length or (length >= limits.least and length >= limits.coverage * self.best[state][0])
+
+    def item_matches(self, words: Sequence[int], limits: Limits) -> Iterator[tuple[int, int, int]]:
+        """(end, length, state) of the longest suffix at each word that is contamination by some item.
+
+        A suffix of the longest match may be it where the match is not: a short item
+        that stands whole in the text, inside a longer item that doesn't.
+        """
+        told = self.told(limits)
+        state = length = 0
+        for at, word in enumerate(words, 1):
+            step = self.next[state].get(word)
+            while state and step is None:
+                state = self.link[state]
+                length = self.long[state]
+                step = self.next[state].get(word)
+            if step is None:
+                continue
+            state, length = step, length + 1
+            if self.counts(state, length, limits):
+                yield at, length, state
+            elif shorter := told[self.link[state]]:
+                yield at, self.long[shorter], shorter
+
 
 def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
@@ -139,25 +175,32 @@ def _candidate_runs(words: Words, automaton: Automaton, least: int) -> Iterator[
         yield int(row[a]), a, b
 
 
-def find_spans(words: Words, automaton: Automaton | Sequence[Automaton], limits: Limits) -> dict[int, list[tuple[int, int, int, int, float]]]:
+def find_spans(
+    words: Words, automaton: Automaton | Sequence[Automaton], limits: Limits, by_item: bool = False
+) -> dict[int, list[tuple[int, int, int, int, float]]]:
     """Row to its spans (first word, end word, item, longest match, coverage), in text order.
 
-    The matches of all lots of items are merged together, so lots can't matter.
+    The matches of all lots of items are merged together.  With ``by_item`` the limits
+    are tried for every item by itself, so neither lots nor other items can matter; the
+    operators do so.  Otherwise they are tried for the longest match with any item only.
     """
     found: dict[int, list[tuple[int, int, int, int, float]]] = {}
     for one in [automaton] if isinstance(automaton, Automaton) else automaton:
-        _add_matches(found, words, one, limits)
-    return {row: merge_spans(spans, limits.gap) for row, spans in found.items()}
-
-
-def _add_matches(found: dict[int, list[tuple[int, int, int, int, float]]], words: Words, automaton: Automaton, limits: Limits) -> None:
-    for row, a, b in _candidate_runs(words, automaton, min(limits.least, limits.length)):
-        base = int(words.first[row])
-        for end, length, state in automaton.matches(words.hashes[a:b].tolist()):
-            size, item = automaton.best[state]
-            if length >= limits.length or (length >= limits.least and length >= limits.coverage * size):
+        for row, a, b in _candidate_runs(words, one, min(limits.least, limits.length)):
+            base, run = int(words.first[row]), words.hashes[a:b].tolist()
+            begun = None
+            for end, length, state in one.item_matches(run, limits) if by_item else one.matches(run):
+                if not one.counts(state, length, limits):
+                    continue
+                size, item = one.best[state]
                 span = (a - base + end - length, a - base + end, item, length, length / size)
-                found.setdefault(row, []).append(span)
+                spans = found.setdefault(row, [])
+                if begun == span[0]:
+                    spans[-1] = span  # the same match, a word longer
+                else:
+                    spans.append(span)
+                begun = span[0]
+    return {row: merge_spans(spans, limits.gap) for row, spans in found.items()}
 
 
 def merge_spans(spans: list[tuple], gap: int) -> list[tuple]:
@@ -184,7 +227,7 @@ def scan(texts: pa.Array, automata: Sequence[Automaton], limits: Limits) -> tupl
     shares: list[float] = []
     for lo, hi in chunks(texts):
         words = words_of(texts.slice(lo, hi - lo))
-        found = find_spans(words, automata, limits)
+        found = find_spans(words, automata, limits, by_item=True)
         for row in range(hi - lo):
             if row not in found:
                 spans.append([])
@@ -228,7 +271,10 @@ def _contamination(
 ) -> DataFrame:
     """``docs`` with ``__spans`` and ``__share``; benchmarks beyond ``most_bytes`` are scanned lot by lot."""
     spark = docs.sparkSession
-    lots = [spark.sparkContext.broadcast(Automaton(lot)) for lot in _shards(benchmark, item_col, item_text_col, most_bytes)]
+    automata = [Automaton(lot) for lot in _shards(benchmark, item_col, item_text_col, most_bytes)]
+    for automaton in automata:
+        automaton.told(limits)  # once, here, rather than in every worker
+    lots = [spark.sparkContext.broadcast(automaton) for automaton in automata]
 
     @F.arrow_udf(f"struct<spans:{SPANS},share:double>")
     def find(texts: pa.Array) -> pa.Array:

@@ -114,3 +114,67 @@ def test_lots_are_merged_before_texts_are_cut(spark, make_docs):
     assert whole == lots and len(whole) == 31
     assert not lots[100]["dropped"] and lots[100]["share"] == round(14 / 44, 6)
     assert not any(f"i{k}w0 " in r["clean_text"] for k in range(12) for r in lots.values() if r["clean_text"])
+
+
+def each_item(doc, items, limits):
+    """Spans by trying every item by itself: at each word the longest match with the item."""
+    inside = []
+    for _, item in items:
+        for end in range(1, len(doc) + 1):
+            length = 0
+            for at in range(len(item)):
+                n = 0
+                while n <= at and n < end and item[at - n] == doc[end - 1 - n]:
+                    n += 1
+                length = max(length, n)
+            if length >= limits.length or (length >= limits.least and length >= limits.coverage * len(item)):
+                inside.append((end - length, end))
+    merged = []
+    for a, b in sorted(inside):
+        if merged and a - merged[-1][1] <= limits.gap:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
+def _hashed(text):
+    return words_of(pa.array([text])).hashes.tolist()
+
+
+def test_a_short_item_is_found_inside_a_longer_one():
+    short = " ".join(f"s{k}" for k in range(8))
+    long = " ".join(f"l{k}" for k in range(45)) + f" m {short} n " + " ".join(f"r{k}" for k in range(45))
+    words = words_of(pa.array([f"some text m {short} n and more", f"some text {short} and more"]))
+    found = find_spans(words, Automaton([(1, _hashed(short)), (2, _hashed(long))]), Limits(), by_item=True)
+    assert found == {0: [(3, 11, 1, 8, 1.0)], 1: [(2, 10, 1, 8, 1.0)]}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spans_equal_brute_force_by_item(seed):
+    rng = random.Random(seed + 50)
+    limits = Limits(length=7, least=3, coverage=0.7, gap=1)
+    base = [rng.choice("abcde") for _ in range(40)]
+    items = []
+    for k in range(14):
+        at = rng.randrange(36)
+        items.append((k, base[at : at + rng.choice((3, 4, 5, 12, 30))]))
+    docs = []
+    for _ in range(60):
+        at = rng.randrange(36)
+        docs.append([rng.choice("abcdexyz") for _ in range(10)] + base[at : at + rng.randrange(2, 9)] + [rng.choice("abcdexyz") for _ in range(10)])
+    words = words_of(pa.array([" ".join(d) for d in docs]))
+    hashed = [(k, _hashed(" ".join(w))) for k, w in items]
+    whole = find_spans(words, Automaton(hashed), limits, by_item=True)
+    assert whole == find_spans(words, [Automaton(hashed[:5]), Automaton(hashed[5:9]), Automaton(hashed[9:])], limits, by_item=True)
+    for k, doc in enumerate(docs):
+        assert [s[:2] for s in whole.get(k, [])] == each_item(doc, items, limits)
+
+
+def test_the_operator_tries_every_item(spark, make_docs):
+    short = " ".join(f"s{k}" for k in range(8))
+    long = " ".join(f"l{k}" for k in range(45)) + f" m {short} n " + " ".join(f"r{k}" for k in range(45))
+    filler = " ".join(f"z{k}" for k in range(30))
+    items = spark.createDataFrame([(1, short), (2, long)], ITEMS)
+    (row,) = contaminated(make_docs([(1, f"{filler} m {short} {filler}")]), items).collect()
+    assert [(s["item_id"], s["words"], s["coverage"]) for s in row["spans"]] == [(1, 8, 1.0)]
