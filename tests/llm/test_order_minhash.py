@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from shroudspark.llm._align import edit_distance
+from shroudspark.llm._words import words_of
 from shroudspark.llm.components import components
-from shroudspark.llm.order_minhash import Plan, drop_duplicates, duplicates
+from shroudspark.llm.order_minhash import Plan, drop_duplicates, duplicates, sketch
 
 
 def slow_distance(a, b):
@@ -108,3 +110,30 @@ def test_many_copies_of_one_document(make_docs):
         rows.append((k, " ".join(own)))
     got = duplicates(make_docs(rows), Plan(salt=50)).collect()
     assert len(got) == 399 and {r["duplicate_of"] for r in got} == {0}
+
+
+def _pairs(rng, n, words, similarity, deleted):
+    """Texts 2k and 2k + 1 are a pair of that similarity and like no other text."""
+    texts = []
+    for k in range(n):
+        base = [f"p{k}w{j}" for j in range(words)]
+        at = set(rng.sample(range(words), int(words * (1 - similarity) + 1e-6)))
+        texts += [" ".join(base), " ".join("" if deleted and j in at else f"p{k}x{j}" if j in at else w for j, w in enumerate(base))]
+    return texts
+
+
+@pytest.mark.parametrize("similarity", (0.8, 0.82, 0.85, 0.9))
+@pytest.mark.parametrize("deleted", (False, True))
+def test_isolated_pairs_become_candidates(similarity, deleted):
+    for words in (40, 200):
+        tuples = sketch(words_of(pa.array(_pairs(random.Random(words), 300, words, similarity, deleted))), Plan())
+        assert (tuples[::2] == tuples[1::2]).any(1).mean() >= 0.94
+
+
+def test_recall_of_isolated_pairs(make_docs):
+    rng = random.Random(8)
+    texts = [t for similarity in (0.8, 0.83, 0.86, 0.9) for t in _pairs(rng, 40, 60, similarity, False)]
+    texts = [t.replace("p", f"q{k // 80}p") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["duplicate_of"] for r in duplicates(make_docs(list(enumerate(texts)))).collect()}
+    assert all(k == v + 1 and v % 2 == 0 for k, v in got.items())
+    assert len(got) >= 0.95 * len(texts) / 2
