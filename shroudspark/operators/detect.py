@@ -90,7 +90,7 @@ DETECTORS: tuple[Detector, ...] = (
     Detector("AU_PASSPORT", r"\b[A-Za-z]{1,2}[0-9]{7}\b", 0.5),
     Detector("AU_DRIVER_LICENCE", r"\b[A-Za-z0-9]{6,10}\b", 0.5, has_digit),
     Detector("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", 1.0, cheap=_has("@")),
-    Detector("CREDIT_CARD", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", 1.0, checksums.valid_card, lambda t: t.rlike("[0-9]{4}[ -]?[0-9]{4}")),
+    Detector("CREDIT_CARD", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", 1.0, checksums.valid_card, lambda t: t.rlike("(?:[0-9][ -]?){12}[0-9]")),
     Detector("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0, checksums.valid_iban, lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
     Detector("IP_ADDRESS", _groups("1,3", "1,3", "1,3", "1,3", gap=r"\."), 0.95, checksums.valid_ipv4, lambda t: t.rlike(r"[0-9]\.[0-9]")),
     Detector(
@@ -98,7 +98,7 @@ DETECTORS: tuple[Detector, ...] = (
         PHONE,
         0.5,
         lambda v: F.length(only_digits(v)).between(7, 15),
-        lambda t: t.rlike("[0-9]{3}"),
+        lambda t: t.rlike("[0-9]{2}[ -]?[0-9]{2}"),  # every form of PHONE has that
     ),
 )
 

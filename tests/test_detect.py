@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
 from shroudspark.operators import detect, known, redact, scan
+from shroudspark.plans import queries
 
 
 def found(spark, texts, settings=Settings(), **more):
@@ -131,3 +133,18 @@ def test_page_coverage(spark):
     pages = spark.createDataFrame([("d", 1, 100), ("d", 2, 0), ("d", 3, 10), ("d", 4, 101)], "document string, page int, chars int")
     got = {r["page"]: (r["median"], r["flag"]) for r in scan.page_coverage(pages).collect()}
     assert got == {1: (55, ""), 2: (55, "empty"), 3: (55, "sparse"), 4: (55, "")}
+
+
+_GUARD_TEXTS = ["+49 30 12 34 56", "ring 01 23 45 67 89 now", "02 34 56 78", "pay 411 111 111 111 1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "12 34", "a 12-34 b 56", "1234 5678", "none"]
+
+
+def test_cheap_tests_rule_out_nothing_that_the_sql_counts(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (k INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(_GUARD_TEXTS)))
+    columns = ", ".join(f'"{t}"' for t in queries._TYPES)
+    want = [dict(zip(queries._TYPES, row)) for row in con.execute(f"SELECT {columns} FROM (SELECT k, {queries._typed('text')} FROM documents) ORDER BY k").fetchall()]
+    got = found(spark, _GUARD_TEXTS, queries._COMMON)
+    assert [{t: sum(x == t for x, _ in f) for t in queries._TYPES} for f in got] == want
+    assert [w["PHONE_NUMBER"] for w in want[:3]] == [1, 1, 1] and want[3]["CREDIT_CARD"] == want[4]["CREDIT_CARD"] == 1
