@@ -3,7 +3,9 @@
 The variables are the tokens of a document, the labels O and the kinds of personal data.
 Neighbouring tokens share a chain potential; tokens that repeat, or differ in case and
 punctuation only, share a skip potential with their last occurrence, however far back.
-Loopy sum-product message passing makes labels consistent over the whole document.
+What keywords tell of one mention is a feature of all mentions of that token in the
+document, so it does not fade with distance, and loopy sum-product message passing, run
+until each document's messages converge, makes labels consistent.
 
 A token without a digit, an at sign or a key prefix cannot carry personal data of these
 kinds, so its variable is clamped to O; it still acts on its neighbours through the chain
@@ -28,7 +30,8 @@ from shroudspark.llm._words import chunks, string_buffer
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
 _L = len(LABELS)
-_ROUNDS = 30  # of message passing; the same for all documents, so batches can't matter
+_CLOSE = 1e-7  # a document's messages have converged when none changes by more in a round
+_ROUNDS = 1000  # only for a document whose messages never settle
 _DAMP = 0.3  # share of the old message
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,9 +103,7 @@ def node_features(token: Token, left: str | None, right: str | None) -> list[str
     """Names of the active features; ``left`` and ``right`` are shapes of direct neighbours."""
     own = shape(token.text)
     out = ["bias", f"shape={own}", f"left={left}|{own}", f"right={right}|{own}"]
-    near = token.before[1]
-    behind = token.before[0] + " " + token.before[1] if not re.search(r"\w", near) else near
-    out += [f"key={name}|{own}" for name, pattern in _KEYWORDS.items() if pattern.search(behind)]
+    out += [f"key={name}|{own}" for name in _keywords(token)]
     return out
 
 
@@ -112,6 +113,19 @@ class Graph(NamedTuple):
     features: list[list[str]]
     walls: np.ndarray  # sides of each variable at which a token is clamped to O
     edges: np.ndarray
+    document: np.ndarray | None = None  # of each variable; none: all are of one
+
+
+def _key(token: Token) -> str:
+    """What mentions of one token have in common; empty if it is too short to mean the same again."""
+    key = re.sub(r"[\W_]+", "", token.text).lower()
+    return key if len(key) >= 4 else ""
+
+
+def _keywords(token: Token) -> list[str]:
+    near = token.before[1]
+    behind = token.before[0] + " " + token.before[1] if not re.search(r"\w", near) else near
+    return [name for name, pattern in _KEYWORDS.items() if pattern.search(behind)]
 
 
 def build(documents: list[list[tuple[int, Token]]]) -> Graph:
@@ -122,19 +136,26 @@ def build(documents: list[list[tuple[int, Token]]]) -> Graph:
     for tokens in documents:
         base, last = len(features), {}
         shapes = [shape(t.text) for _, t in tokens]
+        keys = [_key(t) for _, t in tokens]
+        told: dict[str, set[str]] = {}
+        for key, (_, token) in zip(keys, tokens):
+            if key:
+                told.setdefault(key, set()).update(_keywords(token))
         for k, (number, token) in enumerate(tokens):
             before = k > 0 and tokens[k - 1][0] == number - 1
             after = k + 1 < len(tokens) and tokens[k + 1][0] == number + 1
             features.append(node_features(token, shapes[k - 1] if before else None, shapes[k + 1] if after else None))
+            key = keys[k]
+            features[-1] += [f"told={name}|{shapes[k]}" for name in sorted(told.get(key, ()))]
             walls.append(2 - before - after)
             if before:
                 edges.append((base + k - 1, base + k, 0))
-            key = re.sub(r"[\W_]+", "", token.text).lower()
-            if len(key) >= 4:
+            if key:
                 if key in last and not (before and last[key] == base + k - 1):  # direct neighbours share the chain already
                     edges.append((last[key], base + k, 1))
                 last[key] = base + k
-    return Graph(features, np.array(walls, dtype=float), np.array(edges, dtype=np.int64).reshape(-1, 3))
+    document = np.repeat(np.arange(len(documents)), [len(tokens) for tokens in documents])
+    return Graph(features, np.array(walls, dtype=float), np.array(edges, dtype=np.int64).reshape(-1, 3), document)
 
 
 class Field(NamedTuple):
@@ -164,13 +185,24 @@ class Field(NamedTuple):
         potential = self.pair[np.concatenate((e[:, 2], e[:, 2]))]
         back = np.concatenate((np.arange(len(e)) + len(e), np.arange(len(e))))
         messages = np.zeros((len(source), _L))
-        for _ in range(_ROUNDS if len(e) else 0):
-            belief = self._gather(nodes, target, messages)
-            out = (belief[source] - messages[back])[:, :, None] + potential
+        document = np.zeros(len(nodes), dtype=np.int64) if graph.document is None else graph.document
+        of = document[target]
+        live = np.arange(len(source))  # messages of documents that haven't converged; no other document can matter to them
+        for _ in range(_ROUNDS):
+            if not len(live):
+                break
+            at, own, potentials = np.unique(target[live], return_inverse=True), messages[live], potential[live]
+            place = np.searchsorted(at[0], source[live])  # edges go both ways, so every source is a target
+            belief = self._gather(nodes[at[0]], at[1], own)
+            out = (belief[place] - messages[back[live]])[:, :, None] + potentials
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            messages = _DAMP * messages + (1 - _DAMP) * new
+            new = _DAMP * own + (1 - _DAMP) * new
+            messages[live] = new
+            moves = np.zeros(document[-1] + 1, dtype=bool)
+            moves[of[live[np.abs(new - own).max(1) > _CLOSE]]] = True
+            live = live[moves[of[live]]]
         belief = self._gather(nodes, target, messages)
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)

@@ -61,3 +61,12 @@ def test_batches_do_not_matter():
     texts = [f"pay 404189497460879{k % 10} or +1 (988) 555-24{k % 90 + 10} {k}" for k in range(40)]
     whole = find_all(train(), pa.array(texts))
     assert whole == [find_all(train(), pa.array([t]))[0] for t in texts]
+
+
+def test_a_key_told_once_is_found_however_often_it_is_repeated():
+    key = "0641917ea4e9feb9cda83477b57ac2654884f485"
+    bare = " ".join(f"and then later on {key}." for _ in range(100))
+    for text in (f'token = "{key}" {bare}', f'{bare} token = "{key}"', f'{bare} token = "{key}" {bare}'):
+        found = find_all(train(), pa.array([text]))[0]
+        assert len(found) == text.count(key) and {e.label for e in found} == {"SECRET"}
+    assert find_all(train(), pa.array([bare]))[0] == []
