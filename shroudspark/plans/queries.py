@@ -136,8 +136,7 @@ SELECT type, CAST(doc_id AS VARCHAR) AS document, 'line ' || k AS location, CAST
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of a whole scan, line by line, counted by place."""
     segments = spread(scan.line_segments(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    report = scan.scan(segments, settings=_COMMON)
-    return report.findings.groupBy("type", "document", "location").agg(F.count("*").alias("n"))
+    return scan.findings(segments, _COMMON).groupBy("type", "document", "location").agg(F.count("*").alias("n"))
 
 
 def _weights(column: str, weights: list[int], first_less: int = 0) -> str:

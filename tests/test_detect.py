@@ -148,3 +148,10 @@ def test_cheap_tests_rule_out_nothing_that_the_sql_counts(spark):
     got = found(spark, _GUARD_TEXTS, queries._COMMON)
     assert [{t: sum(x == t for x, _ in f) for t in queries._TYPES} for f in got] == want
     assert [w["PHONE_NUMBER"] for w in want[:3]] == [1, 1, 1] and want[3]["CREDIT_CARD"] == want[4]["CREDIT_CARD"] == 1
+
+
+def test_scan_report_reads_every_line(spark, tmp_path):
+    text = "\n".join(["x"] * 20_001 + ["write to a.b@example.com"])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.scan_report(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [("EMAIL_ADDRESS", "1", "line 20002", 1)]
