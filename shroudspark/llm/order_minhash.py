@@ -26,7 +26,7 @@ class Plan(NamedTuple):
     """Parameters; the defaults are the production values."""
 
     k: int = 3  # words in a k-mer
-    sampled: int = 2  # least k-mers in a tuple; 3 would leave out 4 of 10 isolated pairs of similarity 0.8
+    sampled: int = 2  # least k-mers in a tuple; 24 tuples of 3 left out 4 of 10 isolated pairs of similarity 0.8
     tuples: int = 32  # tuples in a sketch
     least: float = 0.8  # edit similarity, in words, of a near-duplicate
     salt: int = 512  # documents compared with one leader in one group of rows
