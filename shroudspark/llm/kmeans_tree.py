@@ -1,26 +1,32 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree has two parts.  Its top, whose leaves are the cells, is small enough to send
-to every executor at any number of vectors; its means are those of all vectors, from
-distributed Lloyd passes.  Below each cell hangs a subtree that the task that holds the
-cell's vectors builds from all of them.  A query walks both parts through a priority
-queue of nodes by the distance to their means: nearest cells first, and within a cell
-nearest leaves first.  How many cells and leaves it visits is found by widening until
-queries with known neighbours reach the recall asked for.
+The tree has two parts.  Its top, whose leaves are the cells, is sent to every executor;
+it starts from a bounded sample and one Lloyd pass over all vectors moves its means.
+Below each cell hangs a subtree that the task that holds the cell's vectors builds from
+all of them; a cell of more vectors than a task should hold is split by a hash into
+shards, each with a subtree, and whoever visits the cell visits all of them.  A query walks
+both parts through a priority queue of nodes by the distance to their means: nearest
+cells first, and within a cell nearest leaves first.  How many cells and leaves it
+visits is found by widening until queries with known neighbours reach the recall asked
+for.  Vectors are compared with leaves in matrix products, a leaf with all queries that
+visit it.
+
+Equal vectors are indexed, and asked for, once: of their ids only the k + 1 lowest can be
+anybody's neighbours, as ties go to the lower id.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroudspark.llm._common import materialise
+from shroudspark.llm._common import drop_table, materialise
 
 
 class Plan(NamedTuple):
@@ -29,13 +35,14 @@ class Plan(NamedTuple):
     k: int = 10  # neighbours
     cell: int = 4096  # vectors in a cell, about
     most_cells: int = 1 << 16  # then cells grow, and what is broadcast doesn't
+    shard: int = 1 << 16  # vectors in a subtree, about, at most; larger cells are split
     branches: int = 16
-    passes: int = 2  # Lloyd passes over all vectors for each level of the top
-    leaf: int = 48  # vectors in a leaf, at most, unless they are equal
+    passes: int = 1  # Lloyd passes of the cells over all vectors
+    leaf: int = 48  # vectors in a leaf, at most
     recall: float = 0.96  # of the calibration queries
     calibration: int = 512  # queries
-    start: int = 64  # vectors, for each cell, from which means start; all vectors move them
-    most_start: int = 1 << 17  # of those, for all cells together
+    sample: int = 1 << 17  # vectors, at most, on which the top is fitted before all vectors move it
+    hot: int = 4096  # a query vector with more than this part of all queries has its answer broadcast
     seed: int = 5
 
 
@@ -45,6 +52,7 @@ class Tree:
     def __init__(self, mean: np.ndarray) -> None:
         self.means: list[np.ndarray] = [mean]
         self.children: list[list[int]] = [[]]
+        self._sides: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, parent: int, mean: np.ndarray) -> int:
         self.means.append(mean)
@@ -55,8 +63,15 @@ class Tree:
     def leaves(self) -> list[int]:
         return [n for n, c in enumerate(self.children) if not c]
 
-    def order(self, distances: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first, given a query's distance to every mean."""
+    def sides(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """Means and squared norms of a node's children, kept from the first time on."""
+        if node not in self._sides:
+            means = np.stack([self.means[c] for c in self.children[node]])
+            self._sides[node] = means, (means * means).sum(1)
+        return self._sides[node]
+
+    def order(self, distance: Callable[[int], list[float]], visits: int) -> list[int]:
+        """The first ``visits`` leaves, best bin first; ``distance`` has those of a node's children."""
         queue = [(0.0, 0)]
         found: list[int] = []
         while queue and len(found) < visits:
@@ -64,17 +79,33 @@ class Tree:
             inner = self.children[node]
             if not inner:
                 found.append(node)
-            for child in inner:
-                heapq.heappush(queue, (distances[child], child))
+            else:
+                for pair in zip(distance(node), inner):
+                    heapq.heappush(queue, pair)
         return found
 
+    def visit(self, query: np.ndarray, visits: int) -> list[int]:
+        """``order`` for one query; only children of nodes that the queue gives are compared with it."""
+
+        def distance(node: int) -> list[float]:
+            means, norms = self.sides(node)
+            return (norms - 2 * (means @ query) + own).tolist()
+
+        own = float(query @ query)
+        return self.order(distance, visits)
+
     def route(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: down the nearest means."""
+        """The leaf of each vector: down the nearest means, a level at a time."""
         at = np.zeros(len(x), dtype=np.int64)
-        for node, inner in enumerate(self.children):  # children come after their parents
-            own = np.flatnonzero(at == node)
-            if inner and len(own):
-                at[own] = np.array(inner)[squares(x[own], np.stack([self.means[c] for c in inner])).argmin(1)]
+        moving = np.arange(len(x)) if self.children[0] else np.zeros(0, np.int64)
+        while len(moving):
+            moving = moving[np.argsort(at[moving], kind="stable")]
+            nodes, starts = np.unique(at[moving], return_index=True)
+            for node, part in zip(nodes.tolist(), np.split(moving, starts[1:])):
+                means, norms = self.sides(node)
+                at[part] = np.array(self.children[node])[(norms - 2 * (x[part] @ means.T)).argmin(1)]
+            inner = np.array([bool(c) for c in self.children])
+            moving = moving[inner[at[moving]]]
         return at
 
 
@@ -95,14 +126,15 @@ def means_of(x: np.ndarray, count: int, rounds: int, rng: np.random.Generator) -
     for _ in range(rounds):
         own = squares(x, means).argmin(1)
         number = np.bincount(own, minlength=len(means))
-        sums = np.zeros_like(means)
-        np.add.at(sums, own, x)
-        means = np.where(number[:, None] > 0, sums / np.maximum(number, 1)[:, None], means)
+        order = np.argsort(own, kind="stable")
+        full = np.flatnonzero(number)
+        sums = np.add.reduceat(x[order], (np.cumsum(number) - number)[full], axis=0)
+        means[full] = sums / number[full][:, None]
     return means
 
 
 class Subtree:
-    """The tree of one cell, with the cell's vectors in the order of its leaves."""
+    """The tree of one cell, or of a shard of it, with the vectors in the order of its leaves."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, cell: int, plan: Plan) -> None:
         rng = np.random.default_rng([plan.seed, cell])
@@ -111,47 +143,79 @@ class Subtree:
         work = [(0, np.arange(len(x)))]
         while work:
             node, own = work.pop()
-            means = means_of(x[own], plan.branches // 2, 4, rng) if len(own) > plan.leaf else np.zeros((1, x.shape[1]))
-            if len(means) < 2:
+            if len(own) <= plan.leaf:
                 spans[node] = own
                 continue
-            side = squares(x[own], means).argmin(1)
-            for c in range(len(means)):
+            means = means_of(x[own], plan.branches // 2, 4, rng)
+            side = squares(x[own], means).argmin(1) if len(means) > 1 else np.zeros(len(own), np.int64)
+            if len(np.unique(side)) < 2:  # too near each other to be told apart
+                side = np.arange(len(own)) // plan.leaf
+            for c in np.unique(side).tolist():
                 part = own[side == c]
-                if len(part):
-                    work.append((self.tree.add(node, x[part].mean(0)), part))
-        order = np.concatenate([spans[n] for n in sorted(spans)])
-        ends = np.cumsum([0] + [len(spans[n]) for n in sorted(spans)])
-        self.span = {n: (int(ends[k]), int(ends[k + 1])) for k, n in enumerate(sorted(spans))}
+                work.append((self.tree.add(node, x[part].mean(0)), part))
+        nodes = sorted(spans)
+        order = np.concatenate([spans[n] for n in nodes])
+        self.ends = np.cumsum([0] + [len(spans[n]) for n in nodes])
+        self.number = {n: k for k, n in enumerate(nodes)}
         self.x, self.ids = x[order], ids[order]
         self.norms = (self.x * self.x).sum(1)
         self.means = np.stack(self.tree.means)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, visits: int, k: int) -> list[list[tuple[float, int]]]:
-        """For each query its k nearest others (squared distance, id) in the leaves it visits."""
+    def visits(self, queries: np.ndarray, visits: int) -> list[list[int]]:
+        """The leaves that each query visits, in order, as their places among the leaves."""
+        if visits >= len(self.number):
+            return [list(range(len(self.number)))] * len(queries)
+        inner = self.tree.children
         out = []
-        far = squares(queries, self.means)
-        for q, me, d in zip(queries, own.tolist(), far.tolist()):
-            parts = [self.span[n] for n in self.tree.order(d, visits)]
-            at = np.concatenate([np.arange(a, b) for a, b in parts])
-            near = self.norms[at] - 2 * (self.x[at] @ q)
-            if len(at) > 4 * k:  # ties at the edge are all kept, then ids decide
-                edge = np.partition(near, k)[k]
-                some = near <= edge + 1e-9
-                at, near = at[some], near[some]
-            ids = self.ids[at]
-            other = ids != me
-            exact = ((self.x[at[other]] - q) ** 2).sum(1)
-            ids = ids[other]
-            best = np.lexsort((ids, exact))[:k]
-            out.append(list(zip(exact[best].tolist(), ids[best].tolist())))
+        for far in squares(queries, self.means).tolist():
+            out.append([self.number[n] for n in self.tree.order(lambda node: [far[c] for c in inner[node]], visits)])
         return out
 
+    def search(self, queries: np.ndarray, visits: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ``k`` nearest in the leaves it visits: squared distances, and rows of ``x`` or -1.
+
+        Every leaf is compared with all queries that visit it in one product.  What is
+        nearest by the products is compared again, component by component.
+        """
+        asked: dict[int, list[int]] = {}
+        for q, leaves in enumerate(self.visits(queries, visits)):
+            for leaf in leaves:
+                asked.setdefault(leaf, []).append(q)
+        size = np.diff(self.ends)
+        filled = np.zeros(len(queries), np.int64)
+        wide = np.zeros(len(queries), np.int64)
+        for leaf, own in asked.items():
+            wide[own] += size[leaf]
+        most = int(wide.max(initial=0))
+        near, row = np.full((len(queries), most), np.inf), np.full((len(queries), most), -1, np.int64)
+        for leaf, own in asked.items():
+            a, b = self.ends[leaf], self.ends[leaf + 1]
+            who = np.array(own)
+            to = (filled[who][:, None] + np.arange(b - a), who[:, None])
+            near[to[1], to[0]] = self.norms[a:b] - 2 * (queries[who] @ self.x[a:b].T)
+            row[to[1], to[0]] = np.arange(a, b)
+            filled[who] += b - a
+        d, at = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, np.int64)
+        if not most:
+            return d, at
+        edge = np.partition(near, min(k, most) - 1, axis=1)[:, min(k, most) - 1]
+        slack = 1e-9 * (1 + np.abs(edge) + (queries * queries).sum(1))  # ties at the edge are all kept, then ids decide
+        q, c = np.nonzero((near <= (edge + slack)[:, None]) & (row >= 0))
+        rows = row[q, c]
+        exact = ((self.x[rows] - queries[q]) ** 2).sum(1)
+        order = np.lexsort((self.ids[rows], exact, q))
+        q, rows, exact = q[order], rows[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        some = place < k
+        d[q[some], place[some]], at[q[some], place[some]] = exact[some], rows[some]
+        return d, at
+
     def leaf_rank(self, query: np.ndarray, target: int) -> int:
         """How many leaves a query visits until it comes to a vector's leaf."""
-        at = int(np.flatnonzero(self.ids == target)[0])
-        order = self.tree.order(squares(query[None], self.means)[0].tolist(), len(self.span))
-        return 1 + next(r for r, n in enumerate(order) if self.span[n][0] <= at < self.span[n][1])
+        leaf = int(np.searchsorted(self.ends, int(np.flatnonzero(self.ids == target)[0]), side="right")) - 1
+        far = squares(query[None], self.means)[0].tolist()
+        order = self.tree.order(lambda node: [far[c] for c in self.tree.children[node]], len(self.number))
+        return 1 + order.index(next(n for n, k in self.number.items() if k == leaf))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,65 +223,67 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    n, d = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(x.astype(np.float32).reshape(-1)))
-
-
 def build_top(vectors: DataFrame, n: int, plan: Plan) -> Tree:
-    """Level by level: means start from a few vectors, and Lloyd passes over all of them follow."""
+    """Level by level from a sample, then Lloyd passes over all vectors move the means of the cells."""
     spark = vectors.sparkSession
     cells = int(min(max(1, round(n / plan.cell)), plan.most_cells))
-    few = max(plan.branches, min(plan.start * cells, plan.most_start))
-    share = min(1.0, 2.0 * few / n)
+    share = min(1.0, 1.5 * plan.sample / n)
     spot = F.xxhash64("id", F.lit(plan.seed))
     some = vectors if share >= 1 else vectors.filter(F.pmod(spot, F.lit(1 << 30)) < int(share * (1 << 30)))
-    first = _matrix(some.orderBy(spot, "id").limit(few).select("v").toArrow()["v"].combine_chunks())
+    first = _matrix(some.orderBy(spot, "id").limit(plan.sample).select("v").toArrow()["v"].combine_chunks())
     tree = Tree(first.mean(0))
     rng = np.random.default_rng(plan.seed)
     while len(frontier := tree.leaves()) < cells:
         at = tree.route(first)
+        order = np.argsort(at, kind="stable")
+        nodes, starts = np.unique(at[order], return_index=True)
+        own = dict(zip(nodes.tolist(), np.split(order, starts[1:])))
         wide = min(plan.branches, max(2, -(-cells // len(frontier))))
         grown = False
         for node in frontier:
-            own = first[at == node]
-            if len(own) > 1:
-                means = means_of(own, wide, 4, rng)
+            if len(own.get(node, ())) > 1:
+                means = means_of(first[own[node]], wide, 4, rng)
                 if len(means) > 1:
                     grown = True
                     for mean in means:
                         tree.add(node, mean)
+        tree._sides.clear()
         if not grown:  # what is left in each cell is equal
             break
-        for _ in range(plan.passes):
-            shared = spark.sparkContext.broadcast(tree)
-            for node, number, total in _sums(vectors, shared).toLocalIterator():
-                tree.means[node] = np.array(total) / number
-            shared.unpersist()
+    for _ in range(plan.passes if cells > 1 else 0):
+        shared = spark.sparkContext.broadcast(tree)
+        moved = dict((node, np.array(total) / number) for node, number, total in _sums(vectors, shared).toLocalIterator())
+        shared.unpersist()
+        for node, mean in moved.items():
+            tree.means[node] = mean
+        tree._sides.clear()
     return tree
 
 
 def _sums(vectors: DataFrame, shared) -> DataFrame:
     """(node, n, sums) over all vectors for each leaf of the tree so far."""
 
+    def add(totals: dict[int, tuple[int, np.ndarray]], node: int, n: int, s: np.ndarray) -> None:
+        m, t = totals.get(node, (0, 0.0))
+        totals[node] = (m + n, t + s)
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
                 at = shared.value.route(x)
-                for node in np.unique(at).tolist():
-                    own = x[at == node]
-                    n, s = totals.get(node, (0, 0.0))
-                    totals[node] = (n + len(own), s + own.sum(0))
+                order = np.argsort(at, kind="stable")
+                nodes, starts, number = np.unique(at[order], return_index=True, return_counts=True)
+                for node, n, s in zip(nodes.tolist(), number.tolist(), np.add.reduceat(x[order], starts, axis=0)):
+                    add(totals, node, n, s)
         yield _sum_rows(totals)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                n, s = totals.get(row["node"], (0, 0.0))
-                totals[row["node"]] = (n + row["n"], s + np.array(row["s"]))
+                add(totals, row["node"], row["n"], np.array(row["s"]))
         yield _sum_rows(totals)
 
     schema = "node bigint, n bigint, s array<double>"
@@ -231,116 +297,133 @@ def _sum_rows(totals: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
     )
 
 
-def _placed(vectors: DataFrame, shared, cells: int) -> DataFrame:
-    """(cell, query, base, id, v): every vector in its own cell, and as a query in the cells it visits."""
+def _placed(vectors: DataFrame, shared) -> DataFrame:
+    """``vectors`` with ``cell``, the cell that each is routed to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("cell", pa.array(shared.value.route(_matrix(batch.column("v"))), pa.int64()))
+
+    return vectors.mapInArrow(run, f"{_ddl(vectors)}, cell bigint")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _visitors(queries: DataFrame, shared, cells: int, shards: dict[int, int]) -> DataFrame:
+    """(h1, h2, v, cell, shard): every query in each shard of each cell that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
-        means = np.stack(tree.means)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            home = tree.route(x)
-            far = squares(x, means).tolist() if cells else []
-            cell, query, base, at = home.tolist(), [False] * len(ids), [True] * len(ids), list(range(len(ids)))
-            for k in range(len(ids) if cells else 0):
-                for node in tree.order(far[k], cells):
-                    if node == home[k]:
-                        query[k] = True
-                    else:
-                        cell.append(node)
-                        query.append(True)
-                        base.append(False)
+            at, cell, shard = [], [], []
+            for k, q in enumerate(_matrix(batch.column("v"))):
+                for node in tree.visit(q, cells):
+                    for s in range(shards.get(node, 1)):
                         at.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int64()), pa.array(query), pa.array(base), pa.array(ids[at]), _lists(x[at])], names=["cell", "query", "base", "id", "v"]
-            )
+                        cell.append(node)
+                        shard.append(s)
+                if len(at) > 20_000 or k + 1 == batch.num_rows:
+                    rows = batch.select(["h1", "h2", "v"]).take(pa.array(at, pa.int64()))
+                    yield rows.append_column("cell", pa.array(cell, pa.int64())).append_column("shard", pa.array(shard, pa.int32()))
+                    at, cell, shard = [], [], []
 
-    return vectors.select("id", "v").mapInArrow(run, "cell bigint, query boolean, base boolean, id bigint, v array<float>")
+    return queries.select("h1", "h2", "v").mapInArrow(run, "h1 bigint, h2 bigint, v array<float>, cell bigint, shard int")
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by cell, one whole cell at a time."""
+def _subtrees(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[Subtree, pa.Table, pa.RecordBatch]]:
+    """(subtree, the rows in its order, some of its visitors) of rows sorted by cell, shard and ``visits``.
+
+    Only the vectors of one shard are held; its visitors come after them and pass by.
+    """
     held: list[pa.RecordBatch] = []
+    sub, rows, at = None, None, None
     for batch in batches:
-        at = 0
-        cell = batch.column("cell").to_numpy()
-        for cut in [*(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)] if len(cell) else []:
-            if held and held[0].column("cell")[0].as_py() != cell[at]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, cut - at))
-            at = cut
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _subtree(table: pa.Table, plan: Plan) -> tuple[Subtree | None, np.ndarray, np.ndarray]:
-    ids = table["id"].to_numpy()
-    x = _matrix(table["v"].combine_chunks())
-    base = np.flatnonzero(table["base"].to_numpy())
-    base = base[np.argsort(ids[base])]
-    return (Subtree(x[base], ids[base], table["cell"][0].as_py(), plan) if len(base) else None), ids, x
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "shard", "visits")])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            here, visits = marks[:2, a].tolist(), marks[2, a]
+            if here != at:
+                held, sub, at = [], None, here
+            if not visits:
+                held.append(batch.slice(a, b - a))
+            elif held:
+                if sub is None:
+                    table = pa.Table.from_batches(held)
+                    table = table.take(pa.array(np.argsort(table["id"].to_numpy())))
+                    sub = Subtree(_matrix(table["v"].combine_chunks()), np.arange(len(table)), here[0], plan)
+                    rows = table.select(["ids"]).take(pa.array(sub.ids))
+                yield sub, rows, batch.slice(a, b - a)
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, near) with the k nearest of all vectors, as structs (d, id); ``queries`` are few and are sent to every task."""
-    rows = queries.select("id", "v").toArrow()
-    shared = vectors.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["v"].combine_chunks())))
+    """(q, id): the k nearest of all vectors; ``queries`` (q, qv) are few and are sent to every task."""
+    rows = queries.select("q", "qv").toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((rows["q"].to_numpy(), _matrix(rows["qv"].combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, q = shared.value
+        best, who = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64)
         for batch in batches:
-            if not batch.num_rows or not len(own):
-                continue
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            d = squares(q, x)
-            d[own[:, None] == ids[None, :]] = np.inf
-            some = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]
-            r, c = np.repeat(np.arange(len(own)), some.shape[1]), some.reshape(-1)
-            good = np.isfinite(d[r, c])
-            r, c = r[good], c[good]
-            yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(((q[r] - x[c]) ** 2).sum(1)), pa.array(ids[c])], names=["id", "d", "near"])
-
-    found = vectors.select("id", "v").mapInArrow(run, "id bigint, d double, near bigint")
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("d"), F.col("near").alias("id")))), 1, k).alias("near"))
-
-
-def calibrate(vectors: DataFrame, tree: Tree, n: int, plan: Plan) -> tuple[int, int]:
-    """Cells, and leaves in each, to visit: the least work with which calibration queries reach the recall.
+            for lo in range(0, batch.num_rows if len(own) else 0, 4096):
+                part = batch.slice(lo, 4096)
+                ids = part.column("id").to_numpy()
+                d = squares(q, _matrix(part.column("v")))
+                d[own[:, None] == ids[None, :]] = np.inf
+                best, who = np.concatenate([best, d], axis=1), np.concatenate([who, np.broadcast_to(ids, d.shape)], axis=1)
+                some = np.argpartition(best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
+                best, who = np.take_along_axis(best, some, 1), np.take_along_axis(who, some, 1)
+        r, c = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(best[r, c]), pa.array(who[r, c])], names=["q", "d", "id"])
+
+    found = vectors.select("id", "v").mapInArrow(run, "q bigint, d double, id bigint")
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k)
+    some = found.groupBy("q", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(nearest.alias("near"))
+    whole = some.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return whole.select("q", F.explode("near.id").alias("id"))
+
+
+def calibrate(placed: DataFrame, tree: Tree, n: int, plan: Plan) -> tuple[int, int]:
+    """Cells, and leaves in each shard, to visit: the least work with which calibration queries reach the recall.
 
     For every true neighbour of a calibration query it is found out how many cells,
-    and how many leaves of its cell, the query must visit to meet it.
+    and how many leaves of its shard, the query must visit to meet it.  Only shards
+    with such neighbours are built.
     """
-    spark = vectors.sparkSession
+    spark = placed.sparkSession
     spot = F.xxhash64("id", F.lit(plan.seed + 1))
     share = min(1.0, 2.0 * plan.calibration / n)
-    some = vectors if share >= 1 else vectors.filter(F.pmod(spot, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    queries = some.orderBy(spot, "id").limit(plan.calibration)
-    queries = materialise(queries, "calibration")
-    truth = exact(vectors, queries, plan.k).select(F.col("id").alias("q"), F.explode("near.id").alias("id"))
-    pairs = materialise(truth.join(queries.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q"), "truth")
+    some = placed if share >= 1 else placed.filter(F.pmod(spot, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    queries = materialise(some.orderBy(spot, "id").limit(plan.calibration).select(F.col("id").alias("q"), F.col("v").alias("qv")), "calibration")
+    truth = materialise(exact(placed, queries, plan.k).join(queries, "q"), "truth")  # k rows for a query, so it is few
+    wanted = truth.groupBy("id").agg(F.collect_list(F.struct("q", "qv")).alias("asked"))
+    rows = placed.select("cell", "shard", "id", "v").join(F.broadcast(wanted), "id", "left")
+    built = rows.filter("asked is not null").select("cell", "shard").distinct()
     shared = spark.sparkContext.broadcast(tree)
-    wanted = pairs.groupBy("id").agg(F.collect_list(F.struct("q", "qv")).alias("asked"))
-    rows = _placed(vectors, shared, 0).select("cell", "base", "id", "v").join(wanted, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: Tree = shared.value
-        means = np.stack(top.means)
-        for table in _cells(batches):
+        for table in _shards(batches):
             asked = [(i, a["qv"]) for i, c in zip(table["id"].to_pylist(), table["asked"].to_pylist()) for a in c or []]
             if not asked:
                 continue
-            sub, _, _ = _subtree(table, plan)
+            ids = table["id"].to_numpy()
+            order = np.argsort(ids)
             cell, out = table["cell"][0].as_py(), []
+            sub = Subtree(_matrix(table["v"].combine_chunks())[order], ids[order], cell, plan)
             for target, vector in asked:
                 q = np.array(vector, dtype=np.float64)
-                order = top.order(squares(q[None], means)[0].tolist(), len(means))
-                out.append((1 + order.index(cell), sub.leaf_rank(q, target)))
+                out.append((1 + top.visit(q, len(top.means)).index(cell), sub.leaf_rank(q, target)))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], names=["cells", "leaves"])
 
-    ranks = rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cells bigint, leaves bigint").toArrow()
+    rows = rows.join(F.broadcast(built), ["cell", "shard"], "left_semi")
+    ranks = rows.repartition("cell", "shard").sortWithinPartitions("cell", "shard", "id").mapInArrow(run, "cells bigint, leaves bigint").toArrow()
+    for table in (queries, truth):
+        drop_table(table)
     cells, leaves = ranks["cells"].to_numpy(), ranks["leaves"].to_numpy()
     best = None
     for c in range(1, int(cells.max(initial=1)) + 1):
@@ -354,45 +437,93 @@ def calibrate(vectors: DataFrame, tree: Tree, n: int, plan: Plan) -> tuple[int,
     return (best[1], best[2]) if best else (1, 1)
 
 
-def neighbours(table: DataFrame, plan: Plan = Plan(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, ``rank`` from 1, ``neighbour``, ``distance``): the k nearest others of every vector.
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell and shard, one whole shard at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(batch.column("cell").to_pylist(), batch.column("shard").to_pylist()))
+        a = 0
+        for b in range(1, len(keys) + 1):
+            if b == len(keys) or keys[b] != keys[a]:
+                if held and last != keys[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last, a = keys[a], b
+    if held:
+        yield pa.Table.from_batches(held)
 
-    Every vector is a query.  Distances are Euclidean, ties go to the lower id.
-    Defined cases: rows with a null id or vector, with a null, NaN or infinite
-    component, or with another number of components than most have, are left out; of
-    rows that repeat an id the least vector counts; with fewer than k others there
-    are fewer rows; an empty table has no rows.  Equal vectors, however many, are
-    neighbours at distance 0.
+
+def neighbours(table: DataFrame, plan: Plan = Plan(), id_col: str = "vec_id", vector_col: str = "embedding", every: int = 1) -> DataFrame:
+    """(id, ``rank`` from 1, ``neighbour``, ``distance``): the k nearest others of each query.
+
+    Queries are the rows whose id is divisible by ``every``; they are searched for among
+    all rows.  Distances are Euclidean, ties go to the lower id.
+    Defined cases: rows with a null id or vector, with an id that is no integer, with a
+    null, NaN or infinite component, or with another number of components than most
+    have, are left out; of rows that repeat an id the least vector counts; with fewer
+    than k others there are fewer rows; an empty table, or one without queries, has no
+    rows.  Equal vectors, however many, are neighbours at distance 0.  Other columns,
+    whatever their names, are not read.  Tables of any size are indexed whole: beyond
+    ``most_cells`` x ``cell`` vectors cells grow, and beyond ``shard`` they are split.
     """
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id is not null and v is not null")
+    rows = table.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id is not null and v is not null")
     rows = rows.filter(~bad).withColumn("size", F.size("v"))
     sizes = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     schema = f"{id_col} bigint, rank int, neighbour bigint, distance double"
     spark = table.sparkSession
     if sizes is None or sizes["size"] == 0:
         return spark.createDataFrame([], schema)
-    vectors = materialise(rows.filter(F.col("size") == sizes["size"]).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    n = vectors.count()
+    rows = rows.filter(F.col("size") == sizes["size"]).groupBy("id").agg(F.min("v").alias("v"))
+    zero = F.transform("v", lambda c: F.when(c == 0, F.lit(0.0).cast("float")).otherwise(c))  # -0 is 0
+    own = materialise(rows.select("id", zero.alias("v")).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(plan.seed), "v").alias("h2")), "vectors")
+    lowest = own.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("place") <= plan.k + 1)
+    lowest = lowest.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
+    asked = own.filter(F.pmod("id", F.lit(every)) == 0).select("id", "h1", "h2")
+    lowest = lowest.join(asked.groupBy("h1", "h2").agg(F.count("*").alias("asked")), ["h1", "h2"], "left")
+    vectors = materialise(lowest.select(F.col("ids")[0].alias("id"), "v", "ids", "h1", "h2", F.coalesce("asked", F.lit(0)).alias("asked")), "distinct")
+    n, queries, total = vectors.agg(F.count("*"), F.count_if(F.col("asked") > 0), F.sum("asked")).first()
+    if not queries:
+        return spark.createDataFrame([], schema)
     tree = build_top(vectors, n, plan)
-    cells, leaves = calibrate(vectors, tree, n, plan)
     shared = spark.sparkContext.broadcast(tree)
-    kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
+    placed = materialise(_placed(vectors, shared), "placed")
+    heavy = placed.groupBy("cell").count().filter(F.col("count") > plan.shard)  # cells are at most most_cells
+    heavy = heavy.select("cell", F.ceil(F.col("count") / plan.shard).alias("parts"))
+    shards = {r["cell"]: r["parts"] for r in heavy.collect()}
+    heavy = F.broadcast(spark.createDataFrame(list(shards.items()), "cell bigint, parts bigint"))
+    placed = placed.join(heavy, "cell", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    cells, leaves = calibrate(placed, tree, n, plan)
+    none = F.lit(0).cast("bigint")
+    base = placed.select("cell", "shard", F.lit(0).alias("visits"), "id", "v", "ids", none.alias("h1"), none.alias("h2"))
+    guests = _visitors(vectors.filter(F.col("asked") > 0), shared, cells, shards)
+    guests = guests.select("cell", "shard", F.lit(1).alias("visits"), F.lit(None).cast("bigint").alias("id"), "v", F.lit(None).cast("array<bigint>").alias("ids"), "h1", "h2")
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("ids", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _cells(batches):
-            sub, ids, x = _subtree(cell, plan)
-            asked = np.flatnonzero(cell["query"].to_numpy())
-            if sub is None or not len(asked):
-                continue
-            for lo in range(0, len(asked), 2048):
-                part = asked[lo : lo + 2048]
-                found = sub.search(x[part], ids[part], leaves, plan.k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([[{"d": d, "id": i} for d, i in f] for f in found], kind)], names=["id", "near"])
-
-    placed = _placed(vectors, shared, cells).repartition("cell").sortWithinPartitions("cell", "id")
-    found = placed.mapInArrow(run, "id bigint, near array<struct<d:double,id:bigint>>")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, plan.k).alias("near"))
-    return best.select(F.col("id").alias(id_col), F.posexplode("near").alias("p", "e")).select(
+        for sub, rows, guests in _subtrees(batches, plan):
+            step = max(1, (1 << 21) // min(len(sub.x), leaves * plan.leaf))
+            for lo in range(0, guests.num_rows, step):
+                some = guests.slice(lo, step)
+                d, at = sub.search(_matrix(some.column("v")), leaves, plan.k + 1)
+                good = at >= 0
+                ids = rows["ids"].combine_chunks().take(pa.array(at[good]))
+                entries = pa.StructArray.from_arrays([pa.array(d[good]), ids], fields=list(kind.value_type))
+                near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(good.sum(1))]), pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([some.column("h1"), some.column("h2"), near], names=["h1", "h2", "near"])
+
+    met = base.unionByName(guests).repartition("cell", "shard").sortWithinPartitions("cell", "shard", "visits", "id")
+    found = met.mapInArrow(run, "h1 bigint, h2 bigint, near array<struct<d:double,ids:array<bigint>>>")
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, plan.k + 1)
+    each = F.flatten(F.transform("near", lambda e: F.transform(e["ids"], lambda i: F.struct(e["d"].alias("d"), i.alias("id")))))
+    best = found.groupBy("h1", "h2").agg(nearest.alias("near")).select("h1", "h2", F.slice(F.array_sort(each), 1, plan.k + 1).alias("near"))
+    best = materialise(best, "best")
+    hot = F.broadcast(vectors.filter(F.col("asked") > total / plan.hot).select("h1", "h2"))  # so they are fewer than plan.hot
+    many = asked.join(F.broadcast(best.join(hot, ["h1", "h2"], "left_semi")), ["h1", "h2"])
+    answers = many.unionByName(asked.join(hot, ["h1", "h2"], "left_anti").join(best, ["h1", "h2"]))
+    others = F.slice(F.filter("near", lambda e: e["id"] != F.col("id")), 1, plan.k)
+    return answers.select(F.col("id").alias(id_col), F.posexplode(others).alias("p", "e")).select(
         id_col, (F.col("p") + 1).alias("rank"), F.col("e.id").alias("neighbour"), F.round(F.sqrt("e.d"), 6).alias("distance")
     )

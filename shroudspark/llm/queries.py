@@ -21,7 +21,8 @@ from shroudspark.llm._common import read
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kmeans_tree.neighbours(read(spark, sf_dir, "embeddings"))
+    """The ten nearest of all vectors for every vector whose id is divisible by 20."""
+    return _kmeans_tree.neighbours(read(spark, sf_dir, "embeddings"), every=20)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
