@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.llm._common import bounded_batches
@@ -246,6 +246,18 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) ->
     return data, out[offsets]
 
 
+def token_count(text: Column, path: str = TOKENIZER) -> Column:
+    """Tokens of a text under the vocabulary; null for a null text."""
+
+    @F.arrow_udf("int")
+    def count(texts: pa.Array) -> pa.Array:
+        found = [np.diff(offsets) for _, _, _, offsets in encode_texts(load(path), texts)]
+        number = np.concatenate(found) if found else np.zeros(0)
+        return pa.array(number.astype(np.int32), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return count(text)
+
+
 BLOCK_BYTES = 16 << 20
 
 

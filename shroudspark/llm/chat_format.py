@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,7 @@ def windows(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    count: Callable[[Column], Column] = token_count,
 ) -> DataFrame:
     """One row for each window: ``window`` (from 0), ``first_turn`` and ``last_turn`` (of its new
     turns), ``n_history``, ``n_tokens``, ``text`` and ``targets``.
@@ -48,7 +50,7 @@ def windows(
     that repeat a turn exactly, are left out; differing turns of one number stay, by
     role and then text; a conversation of system turns alone has no window.
     """
-    cost = token_count(F.col("x")) + plan.overhead
+    cost = count(F.col("x")) + plan.overhead
     rows = (
         turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x"))
         .dropna()
@@ -61,18 +63,18 @@ def windows(
     head = F.array_sort(F.collect_list(F.when(F.col("r") == plan.system, F.struct("t", "r", "x", "n"))))
     total = lambda turns: F.aggregate(turns, F.lit(0), lambda s, y: s + y["n"])
     grouped = rows.groupBy("c").agg(talk.alias("talk"), head.alias("head")).filter(F.size("talk") > 0)
-    # sums[i] is the tokens of the turns before i.
+    # sums[i] is the tokens of the turns before i; get, for rows without turns may be looked at before they are filtered.
     sums = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("talk", lambda y: y["upto"]))
     grouped = grouped.select("c", "talk", "head", sums.alias("sums"), total(F.col("head")).alias("fixed"))
 
     def begin(i: Column) -> Column:
         """First turn of the history before turn i."""
         least = F.greatest(i - plan.history_turns, F.lit(0))
-        return least + F.size(F.filter(F.slice("sums", least + 1, i - least), lambda s: s < F.col("sums")[i] - plan.history))
+        return least + F.size(F.filter(F.slice("sums", least + 1, i - least), lambda s: s < F.get("sums", i) - plan.history))
 
     def end(i: Column) -> Column:
         """Turn after the last new one of the window that begins with turn i."""
-        room = F.col("sums")[begin(i)] + plan.budget - F.col("fixed")
+        room = F.get("sums", begin(i)) + plan.budget - F.col("fixed")
         # Each turn costs its markers at least, which bounds the turns to look at.
         near = F.slice("sums", i + 2, plan.budget // plan.overhead + 1) if plan.overhead > 0 else F.slice("sums", i + 2, F.size("sums"))
         return i + F.greatest(F.size(F.filter(near, lambda s: s <= room)), F.lit(1))
@@ -82,14 +84,19 @@ def windows(
         i == s["next"], F.struct(end(i).alias("next"), F.concat(s["found"], F.array(F.struct(i.alias("a"), end(i).alias("b")))).alias("found"))
     ).otherwise(s)
     walked = F.aggregate(F.sequence(F.lit(0), F.size("talk") - 1), state, step)["found"]
-    each = grouped.select("c", "talk", "head", "sums", "fixed", F.posexplode(walked).alias("window", "w"))
-    each = each.select("*", F.col("w.a").alias("a"), F.col("w.b").alias("b"), begin(F.col("w.a")).alias("h"))
-    shown = F.concat(
-        F.transform("head", lambda y: F.struct(y["r"].alias("r"), y["x"].alias("x"), F.lit(False).alias("new"))),
-        F.transform(F.slice("talk", F.col("h") + 1, F.col("a") - F.col("h")), lambda y: F.struct(y["r"].alias("r"), y["x"].alias("x"), F.lit(False).alias("new"))),
-        F.transform(F.slice("talk", F.col("a") + 1, F.col("b") - F.col("a")), lambda y: F.struct(y["r"].alias("r"), y["x"].alias("x"), F.lit(True).alias("new"))),
+    # Each window takes its own turns before windows become rows, so no row holds the whole conversation.
+    part = lambda a, b: F.slice("talk", a + 1, b - a)
+    cut = F.transform(
+        walked,
+        lambda w: F.struct(
+            part(begin(w["a"]), w["a"]).alias("old"),
+            part(w["a"], w["b"]).alias("new"),
+            (F.col("fixed") + F.get("sums", w["b"]) - F.get("sums", begin(w["a"]))).alias("n"),
+        ),
     )
-    each = each.withColumn("shown", shown)
+    each = grouped.select("c", "head", cut.alias("cut")).select("c", "head", F.posexplode("cut").alias("window", "w"))
+    turn = lambda new: lambda y: F.struct(y["r"].alias("r"), y["x"].alias("x"), F.lit(new).alias("new"))
+    each = each.withColumn("shown", F.concat(F.transform("head", turn(False)), F.transform("w.old", turn(False)), F.transform("w.new", turn(True))))
     mark = lambda y: F.concat(F.lit("<|"), y["r"], F.lit("|>\n"))
     close = "\n<|end|>\n"
     spot = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("found"))
@@ -105,10 +112,10 @@ def windows(
     return each.select(
         F.col("c").alias(conv_col),
         "window",
-        F.col("talk")[F.col("a")]["t"].alias("first_turn"),
-        F.col("talk")[F.col("b") - 1]["t"].alias("last_turn"),
-        (F.col("a") - F.col("h")).alias("n_history"),
-        (F.col("fixed") + F.col("sums")[F.col("b")] - F.col("sums")[F.col("h")]).cast("int").alias("n_tokens"),
+        F.get("w.new", F.lit(0))["t"].alias("first_turn"),
+        F.element_at("w.new", -1)["t"].alias("last_turn"),
+        F.size("w.old").alias("n_history"),
+        F.col("w.n").cast("int").alias("n_tokens"),
         F.array_join(F.transform("shown", lambda y: F.concat(mark(y), y["x"], F.lit(close))), "").alias("text"),
         F.aggregate("shown", spot, walk)["found"].alias("targets"),
     )

@@ -54,3 +54,9 @@ def test_ids_outside_the_vocabulary_are_an_error(spark):
     bad = spark.createDataFrame([([10**6],)], "token_ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
         byte_bpe.decode(bad).collect()
+
+
+def test_token_counts_are_those_of_the_ids(make_docs):
+    docs = make_docs([*enumerate(samples(50)), (99, None)])
+    want = {r["doc_id"]: r["n_tokens"] for r in byte_bpe.encode(docs).collect()}
+    assert {r["doc_id"]: r["n"] for r in docs.select("doc_id", byte_bpe.token_count(docs["text"]).alias("n")).collect()} == want

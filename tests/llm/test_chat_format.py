@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from shroudspark.llm.chat_format import Plan, windows
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, window int, talk string, n double"
@@ -58,6 +60,20 @@ def test_windows_equal_brute_force(spark):
         assert got == brute(rows, plan)
 
 
+def test_system_turns_may_fill_the_budget_and_other_columns_may_have_any_name(spark):
+    rows = [(1, 0, "system", "rule " * 100), *((1, k, "user", "a b") for k in range(1, 4)), (1, 4, "assistant", "")]
+    table = make(spark, rows).withColumn("sums", F.lit(1)).withColumn("talk", F.lit("x")).withColumn("window", F.lit(2))
+    plan = Plan(budget=50)
+    got = sorted((r["window"], r["first_turn"], r["last_turn"]) for r in windows(table, plan).collect())
+    assert got == [(w, a, b) for _, w, a, b, *_ in brute(rows, plan)] == [(k, k + 1, k + 1) for k in range(4)]
+
+
+def test_another_count_of_tokens_may_be_given(spark):
+    rows = [(1, k, "user", "x" * 10) for k in range(6)]
+    got = windows(make(spark, rows), Plan(budget=28, history=0), count=F.length).collect()
+    assert sorted((r["first_turn"], r["n_tokens"]) for r in got) == [(0, 28), (2, 28), (4, 28)]
+
+
 def test_targets_are_learnt_once_and_long_turns_stay_whole(spark):
     rows = [(1, k, ("user", "assistant")[k % 2], f"t{k} " * (1000 if k == 5 else 10)) for k in range(12)]
     got = windows(make(spark, rows), Plan(budget=64, history=30)).collect()
