@@ -7,9 +7,12 @@ What keywords tell of one mention is a feature of all mentions of that token in
 document, so it does not fade with distance, and loopy sum-product message passing, run
 until each document's messages converge, makes labels consistent.
 
-A token without a digit, an at sign or a key prefix cannot carry personal data of these
-kinds, so its variable is clamped to O; it still acts on its neighbours through the chain
-potential and as context.  Weights are learnt by pseudo-likelihood on generated examples.
+Label O alone is allowed for a token without evidence of its own or told by another
+mention: one that has no digit, at sign or vendor's key prefix, that no assignment to a
+secret's name, no title and no name label precedes, and that repeats no token for which
+one of these holds.  Such tokens are clamped, in training as in inference; they act on
+their neighbours through the chain potential and as context.  Weights are learnt by
+pseudo-likelihood on generated examples.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 from shroudspark.llm._common import bounded_batches, with_text
 from shroudspark.llm._words import chunks, string_buffer
 
-LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
+LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "PERSON")
+_GROUPED = ("PHONE", "CARD", "PERSON")  # may be written as several tokens
 _L = len(LABELS)
 _CLOSE = 1e-7  # a document's messages have converged when none changes by more in a round
 _ROUNDS = 1000  # only for a document whose messages never settle
@@ -62,13 +66,26 @@ _SHAPES: list[tuple[str, re.Pattern[str]]] = [
         ("some", r"\d{5,9}$"),
         ("many", r"\d{10,12}$"),
         ("code", r"(?=\w*\d)[A-Za-z0-9_-]+$"),
+        ("capital", r"[A-Z\u00c0-\u00de][a-z\u00df-\u00ff]+(?:[-'\u2019][A-Z\u00c0-\u00de]?[a-z\u00df-\u00ff]+)*$"),
+        ("initial", r"[A-Z]$"),
+        ("letters", r"[^\W\d_]{8,}$"),
     )
 ]
+_NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key"
+_TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau)\.?|[Dd]ear|(?:[Nn]ame|[Cc]ontact|[Aa]ttn|[Aa]ttention|[Pp]atient|[Cc]ustomer|[Ee]mployee):"
 _KEYWORDS = {
+    "assign": re.compile(rf"(?i)(?:{_NAMES})[\"']?\s*[:=]\W*$|bearer$"),
+    "name": re.compile(rf"(?:^|[\s\W])(?:{_TITLES})$"),
     "secret": re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|bearer)\W*$"),
     "phone": re.compile(r"(?i)(?:phone|mobile|tel|call|fax|cell)\W*$"),
     "card": re.compile(r"(?i)(?:card|visa|mastercard|amex)\W*$"),
 }
+_NATIONAL = re.compile(r"0\d(?: \d{2}){4}|0\d{3} \d{3} \d{3}|0\d{2,4} \d{3,4} \d{4}|\(0\d{1,3}\) \d{4} \d{4}")
+# Where tokens without a digit or an at sign may begin that are variables.
+_VENDORS = re.compile(rb"A[KS]IA|gh[pousr]_|xox[baprs]-|[rs]k_(?:live|test)_|AIza")
+_ASSIGNED = re.compile(rf"(?i:{_NAMES})[\"']?[ \t]*$".encode())
+_BEARER = re.compile(rb"[Bb]earer[ \t]+(?=\S)")
+_TITLED = re.compile(rf"\b(?:{_TITLES})[ \t]+(?=[A-Z\xc3])".encode("latin-1"))
 
 
 class Token(NamedTuple):
@@ -116,27 +133,51 @@ class Graph(NamedTuple):
     document: np.ndarray | None = None  # of each variable; none: all are of one
 
 
-def _key(token: Token) -> str:
+def _key_of(text: str) -> str:
     """What mentions of one token have in common; empty if it is too short to mean the same again."""
-    key = re.sub(r"[\W_]+", "", token.text).lower()
+    key = re.sub(r"[\W_]+", "", text).lower()
     return key if len(key) >= 4 else ""
 
 
 def _keywords(token: Token) -> list[str]:
     near = token.before[1]
-    behind = token.before[0] + " " + token.before[1] if not re.search(r"\w", near) else near
+    behind = token.before[0] + " " + token.before[1] if not re.search(r"\w", near) else near.lstrip("([\"'")
     return [name for name, pattern in _KEYWORDS.items() if pattern.search(behind)]
 
 
+def _runs(tokens: list[tuple[int, Token]], shapes: list[str]) -> list[set[str]]:
+    """What neighbouring numbers are together: a card in groups, or a national phone number."""
+    found: list[set[str]] = [set() for _ in tokens]
+    for k, (number, token) in enumerate(tokens):
+        core = bare(token.text)
+        if shapes[k] != "four" and not core.startswith(("0", "(0")):
+            continue
+        cores = [core]
+        while len(cores) < 5 and k + len(cores) < len(tokens) and tokens[k + len(cores)][0] == number + len(cores):
+            cores.append(bare(tokens[k + len(cores)][1].text))
+        for sizes in ((4, 4, 4, 4), (4, 6, 5)):
+            part = cores[: len(sizes)]
+            if tuple(map(len, part)) == sizes and (digits := "".join(part)).isascii() and digits.isdigit() and _luhn(digits):
+                for n in range(len(sizes)):
+                    found[k + n].add("card")
+        for size in range(len(cores), 1, -1):
+            if _NATIONAL.fullmatch(" ".join(cores[:size])):
+                for n in range(size):
+                    found[k + n].add("phone")
+                break
+    return found
+
+
 def build(documents: list[list[tuple[int, Token]]]) -> Graph:
-    """The graph of documents given by their unclamped tokens, each with its number in the document."""
+    """The graph of documents given by their variables, each with its number in the document."""
     features: list[list[str]] = []
     walls: list[int] = []
     edges: list[tuple[int, int, int]] = []
     for tokens in documents:
         base, last = len(features), {}
         shapes = [shape(t.text) for _, t in tokens]
-        keys = [_key(t) for _, t in tokens]
+        keys = [_key_of(t.text) for _, t in tokens]
+        runs = _runs(tokens, shapes)
         told: dict[str, set[str]] = {}
         for key, (_, token) in zip(keys, tokens):
             if key:
@@ -147,6 +188,7 @@ def build(documents: list[list[tuple[int, Token]]]) -> Graph:
             features.append(node_features(token, shapes[k - 1] if before else None, shapes[k + 1] if after else None))
             key = keys[k]
             features[-1] += [f"told={name}|{shapes[k]}" for name in sorted(told.get(key, ()))]
+            features[-1] += [f"run={name}|{shapes[k]}" for name in sorted(runs[k])]
             walls.append(2 - before - after)
             if before:
                 edges.append((base + k - 1, base + k, 0))
@@ -232,8 +274,23 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
     octet = lambda: str(rng.randrange(256))
     tail = lambda: rng.choice(("", "", "", "", ".", ",", "!!", "###"))
 
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH!-") for _ in range(n - 1)) + rng.choice("abcdefgh")
+    name = lambda: "".join(rng.choice("AEINORSTLD")) + "".join(rng.choice("aeinorstldé") for _ in range(rng.randrange(3, 9)))
+
+    def person() -> list[tuple[str, int]]:
+        lead = rng.choice(("Mr", "Mrs", "Ms.", "Dr.", "Prof", "Dear", "name:", "Contact:", "Patient:"))
+        middle = [(rng.choice("ABCDEFGH") + ".", 6)] if rng.random() < 0.15 else []
+        return [(lead, 0), (name(), 6), *middle, *([(name(), 6)] if middle or rng.random() < 0.6 else [])]
+
     def secret() -> list[tuple[str, int]]:
-        kind = rng.randrange(5)
+        kind = rng.randrange(8)
+        if kind == 5:
+            return [(rng.choice(("password", "pwd", "secret", "token")) + rng.choice("=:") + letters(rng.randrange(9, 25)), 5)]
+        if kind == 6:
+            return [(rng.choice(("password:", "secret:", "token:", "passwd:")), 0), (letters(rng.randrange(9, 25)), 5)]
+        if kind == 7:
+            head, size = rng.choice((("ASIA", 0), ("ghp_", 36), ("gho_", 36), ("xoxb-", 24), ("sk_live_", 24), ("rk_test_", 24), ("AIza", 35)))
+            return [(head + ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)) if not size else letters(size).replace("!", "x").replace("-", "y")), 5)]
         if kind == 0:
             return [("AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), 5)]
         if kind == 1:
@@ -253,6 +310,10 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
                 f"{_digits(rng, 3)}-{_digits(rng, 3)}-{_digits(rng, 4)}",
                 f"+{rng.randrange(20, 99)} {_digits(rng, 3)} {_digits(rng, 3)} {_digits(rng, 4)}",
                 f"+{rng.randrange(20, 99)}-{_digits(rng, 3)}-{_digits(rng, 6)}",
+                f"04{_digits(rng, 2)} {_digits(rng, 3)} {_digits(rng, 3)}",
+                f"0{_digits(rng, 1)} {_digits(rng, 2)} {_digits(rng, 2)} {_digits(rng, 2)} {_digits(rng, 2)}",
+                f"0{_digits(rng, 2)} {_digits(rng, 4)} {_digits(rng, 4)}",
+                f"(0{_digits(rng, 1)}) {_digits(rng, 4)} {_digits(rng, 4)}",
             )
         )
         lead = [(rng.choice(("phone", "call", "tel:", "mobile")), 0)] if rng.random() < 0.3 else []
@@ -260,9 +321,15 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
 
     def card() -> list[tuple[str, int]]:
         digits = _card(rng)
-        if len(digits) == 16 and rng.random() < 0.15:
+        lead = [(rng.choice(("card", "Card:", "visa", "amex:")), 0)] if rng.random() < 0.3 else []
+        form = rng.random()
+        if len(digits) == 16 and form < 0.15:
             digits = "-".join(digits[k : k + 4] for k in range(0, 16, 4))
-        return [(digits, 3)]
+        elif len(digits) == 16 and form < 0.4:
+            return lead + [(digits[k : k + 4], 3) for k in range(0, 16, 4)]
+        elif len(digits) == 15 and form < 0.4:
+            return lead + [(part, 3) for part in (digits[:4], digits[4:10], digits[10:])]
+        return [*lead, (digits, 3)]
 
     def other() -> list[tuple[str, int]]:
         long = _digits(rng, rng.randrange(13, 20))
@@ -287,6 +354,9 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
                     word() + str(rng.randrange(100)),
                     f"commit {_hex(rng, 40)}",
                     f"{rng.randrange(100)} {rng.randrange(100)}",
+                    f"{rng.randrange(1900, 2100)} {rng.randrange(1900, 2100)} {rng.randrange(1900, 2100)}",
+                    f"0{rng.randrange(10)} {rng.randrange(100)}",
+                    f"card {rng.randrange(1000, 9999)}",
                 )
             ).split(" ")
         ]
@@ -297,7 +367,7 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
         past: list[tuple[str, int]] = []
         for _ in range(rng.randrange(3, 12)):
             doc += [(word(), 0) for _ in range(rng.randrange(0, 6))]
-            kind = rng.randrange(12)
+            kind = rng.randrange(13)
             if past and kind in (0, 11):  # again, without what told it the first time
                 part = [rng.choice(past)]
             elif kind < 2:
@@ -310,30 +380,33 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
                 part = [(".".join(octet() for _ in range(4)), 4)]
             elif kind < 8:
                 part = secret()
+            elif kind == 12:
+                part = person()
             else:
                 part = other()
-            past += [x for x in part if x[1] in (1, 3, 4, 5) or len(x[0]) == 40]
+            past += [x for x in part if x[1] in (1, 4, 5) or x[1] == 3 and len(x[0]) > 8 or len(x[0]) == 40]
+            past += [(t, 6) for t, label in part if label == 6 and len(t) > 3] + [(t.lower(), 0) for t, label in part if label == 6 and len(t) > 3]
             end = tail()
             doc += [*part[:-1], (part[-1][0] + end, part[-1][1])]
         out.append(doc)
     return out
 
 
-def carries(text: str) -> bool:
-    """Whether a token is a variable; all others are clamped to O."""
-    return any("0" <= c <= "9" or c == "@" for c in text) or "AKIA" in text
+def _bytes(words: list[str]) -> np.ndarray:
+    return np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
 
 
-def _variables(texts: list[str]) -> list[tuple[int, Token]]:
-    return [(k, Token(t, (texts[k - 2] if k > 1 else "", texts[k - 1] if k else ""))) for k, t in enumerate(texts) if carries(t)]
+def labelled(docs: list[list[tuple[str, int]]]) -> tuple[Graph, np.ndarray]:
+    """The graph of documents given as (token, label) pairs, and the labels of its variables."""
+    tokens = [variables(_bytes([t for t, _ in doc]))[0] for doc in docs]
+    return build(tokens), np.array([doc[k][1] for doc, own in zip(docs, tokens) for k, _ in own])
 
 
 @cache
 def train(n: int = 1500, seed: int = 11, rounds: int = 300, decay: float = 2e-4) -> Field:
     """Maximum pseudo-likelihood of generated examples, by full-batch AdaGrad."""
     docs = examples(n, seed)
-    graph = build([_variables([t for t, _ in doc]) for doc in docs])
-    gold = np.array([label for doc in docs for t, label in doc if carries(t)])
+    graph, gold = labelled(docs)
     names = sorted({name for f in graph.features for name in f})
     index = {name: k for k, name in enumerate(names)}
     node = np.repeat(np.arange(len(gold)), [len(f) for f in graph.features])
@@ -370,15 +443,37 @@ class Entity(NamedTuple):
     p: float
 
 
-def _candidates(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of a text's tokens, and the numbers of those that are variables."""
+def variables(raw: np.ndarray) -> tuple[list[tuple[int, Token]], np.ndarray, np.ndarray]:
+    """The tokens of a text that are variables, with their numbers; byte starts and ends of all its tokens."""
     space = np.concatenate(([True], _SPACE[raw], [True]))
     starts = np.flatnonzero(space[:-1] & ~space[1:])
     ends = np.flatnonzero(~space[:-1] & space[1:])
-    signs = np.flatnonzero(((raw >= 48) & (raw <= 57)) | (raw == 64))
-    keys = np.array([m.start() for m in re.finditer(b"AKIA", raw.tobytes())], dtype=np.int64)
-    own = np.unique(np.searchsorted(starts, np.concatenate((signs, keys)), side="right") - 1)
-    return starts, ends, own
+    text = raw.tobytes()
+    word = lambda k: text[starts[k] : ends[k]].decode("utf-8") if 0 <= k < len(starts) else ""
+    holder = lambda at: np.searchsorted(starts, np.asarray(at, dtype=np.int64), side="right") - 1
+    own = holder(np.flatnonzero(((raw >= 48) & (raw <= 57)) | (raw == 64)))
+    own = set(own[np.append(True, own[1:] != own[:-1])].tolist()) if len(own) else set()
+    found = set(holder([m.start() for m in _VENDORS.finditer(text)]).tolist())
+    # Values of assignments: the token that begins after the sign, or goes on after it.
+    for at in np.flatnonzero((raw == 58) | (raw == 61)).tolist():
+        if _ASSIGNED.search(text, max(0, at - 24), at):
+            k = int(holder(at)) if at + 1 < len(raw) and not _SPACE[raw[at + 1]] else int(holder(at)) + 1
+            if len(word(k).rpartition(chr(raw[at]))[2].strip(_OUTSIDE)) >= 8:
+                found.add(k)
+            elif word(k) in ('"', "'"):
+                found.add(k + 1)
+    found |= {k for k in holder([m.end() for m in _BEARER.finditer(text)]).tolist() if len(bare(word(k))) >= 16}
+    for k in holder([m.end() for m in _TITLED.finditer(text)]).tolist():
+        for n in range(k, k + 4):  # a name has up to four parts
+            if shape(word(n)) not in ("capital", "initial"):
+                break
+            found.add(n)
+            if word(n)[-1] in ".,;:!?" and shape(word(n)) != "initial":
+                break
+    found = {k for k in found if 0 <= k < len(starts)}
+    if keys := {key for k in found - own if (key := _key_of(word(k)))}:
+        found |= {k for k in range(len(starts)) if k not in own and _key_of(word(k)) in keys}
+    return [(k, Token(word(k), (word(k - 2), word(k - 1)))) for k in sorted(own | found)], starts, ends
 
 
 def find_all(field: Field, texts: pa.Array) -> list[list[Entity]]:
@@ -389,13 +484,12 @@ def find_all(field: Field, texts: pa.Array) -> list[list[Entity]]:
         documents, places = [], []
         for r in range(hi - lo):
             raw = data[at[r] : at[r + 1]]
-            starts, ends, own = _candidates(raw)
-            word = lambda k: raw[starts[k] : ends[k]].tobytes().decode("utf-8") if k >= 0 else ""  # noqa: E731, B023
-            documents.append([(int(k), Token(word(k), (word(k - 2), word(k - 1)))) for k in own])
-            places.append((raw, starts, ends, own))
+            tokens, starts, ends = variables(raw)
+            documents.append(tokens)
+            places.append((raw, starts, ends))
         p = field.marginals(build(documents))
         base = 0
-        for tokens, (raw, starts, ends, own) in zip(documents, places):
+        for tokens, (raw, starts, ends) in zip(documents, places):
             p_own = p[base : base + len(tokens)]
             base += len(tokens)
             out.append(_entities(tokens, p_own, raw, starts, ends))
@@ -415,8 +509,7 @@ def _entities(tokens: list[tuple[int, Token]], p: np.ndarray, raw: np.ndarray, s
         core = bare(token.text)
         start = int(chars[starts[number]]) + len(token.text) - len(token.text.lstrip(_OUTSIDE))
         end = start + len(core)
-        # A number may be written as several tokens; other kinds are one token each.
-        if found and last == number - 1 and found[-1].label == LABELS[label] and LABELS[label] in ("PHONE", "CARD"):
+        if found and last == number - 1 and found[-1].label == LABELS[label] and LABELS[label] in _GROUPED:
             found[-1] = found[-1]._replace(end=end, p=min(found[-1].p, float(own[label])))
         else:
             found.append(Entity(LABELS[label], start, end, float(own[label])))
@@ -429,7 +522,7 @@ _ENTITIES = T.ArrayType(
 )
 
 
-def _with_entities(docs: DataFrame, text_col: str) -> DataFrame:
+def _with_entities(docs: DataFrame, text_col: str, to: str = "__entities") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train())
     kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
@@ -437,7 +530,7 @@ def _with_entities(docs: DataFrame, text_col: str) -> DataFrame:
     def find(texts: pa.Array) -> pa.Array:
         return pa.array([[e._asdict() for e in found] for found in find_all(shared.value, texts)], kind)
 
-    return bounded_batches(docs).withColumn("__entities", find.asNondeterministic()(F.col(text_col)))
+    return bounded_batches(docs).withColumn(to, find.asNondeterministic()(F.col(text_col)))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,17 +538,26 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Offsets are in characters, the end exclusive; ``p`` is the marginal probability,
     of the least certain token where an entity has several.  Defined cases: null and
-    empty texts have none; texts are read whole; repeated rows are reported each; a
-    null id is kept.
+    empty texts have none; texts are read whole, however long; repeated rows are
+    reported each; a null id is kept; of equally probable labels the first in
+    ``LABELS`` counts; an empty table has no rows.  Other columns, whatever their
+    names, are not read.
     """
     found = _with_entities(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")), "__text")
     return found.select(id_col, F.explode("__entities").alias("e")).select(id_col, "e.label", "e.start", "e.end", F.round("e.p", 6).alias("p"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each piece of personal data replaced by ``<LABEL>``; all rows and columns stay."""
-    found = _with_entities(docs, text_col)
-    e = F.col("__entities")
+    """``docs`` with each piece of personal data replaced by ``<LABEL>``; all rows and columns stay.
+
+    Cases as for ``entities``; a null text stays null, an empty one empty, and an
+    ``n_chars`` column gets the new length.
+    """
+    own = "__entities"
+    while own in docs.columns:
+        own += "_"
+    found = _with_entities(docs, text_col, own)
+    e = F.col(own)
     pieces = F.transform(
         F.sequence(F.lit(0), F.size(e)),
         lambda k: F.concat(
@@ -468,4 +570,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     text = F.when(F.size(e) > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
-    return with_text(found, text_col, text).drop("__entities")
+    return with_text(found, text_col, text).drop(own)
