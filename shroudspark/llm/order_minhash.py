@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.llm._align import similarity
-from shroudspark.llm._common import bounded_batches, map_arrow, materialise
+from shroudspark.llm._common import bounded_batches, drop_table, map_arrow, materialise
 from shroudspark.llm._words import Words, chunks, mix64, window_hashes, words_of
 from shroudspark.llm.components import components
 
@@ -32,7 +32,7 @@ class Plan(NamedTuple):
     salt: int = 512  # documents compared with one leader in one group of rows
 
 
-_POSITION = np.uint64((1 << 24) - 1)
+_PLACES = 24  # bits of a position in a text; rows with more k-mers have twice as many
 
 
 def _labelled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +72,21 @@ def sketch(words: Words, plan: Plan) -> np.ndarray:
     begin = first[rows]
     number = np.diff(first)[rows]
     owner = np.repeat(np.arange(len(rows)), number)
-    position = np.minimum(np.arange(len(mers)) - begin[owner], int(_POSITION)).astype(np.uint64)
+    position = (np.arange(len(mers)) - begin[owner]).astype(np.uint64)
+    low = np.where(number < 1 << _PLACES, np.uint64((1 << _PLACES) - 1), np.uint64((1 << 2 * _PLACES) - 1))  # by row, so what rows are together can't matter
+    high = ~low[owner] if number.max() >= 1 << _PLACES else ~low[0]
     taken = min(plan.sampled, int(number.max()))
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     for t in range(plan.tuples):
         odd = mix64(np.array([t * 2 + 1], dtype=np.uint64))[0] | np.uint64(1)
         # The k-mer's hash above, its position below: a minimum tells where it stands.
-        value = ((mers * odd) & ~_POSITION) | position
+        value = ((mers * odd) & high) | position
         picked = np.full((len(rows), taken), none, dtype=np.uint64)
         for s in range(taken):
             least = np.minimum.reduceat(value, begin)
             live = least != none
-            picked[live, s] = least[live] & _POSITION
-            value[begin[live] + (least[live] & _POSITION).astype(np.int64)] = none
+            picked[live, s] = least[live] & low[live]
+            value[begin[live] + (least[live] & low[live]).astype(np.int64)] = none
         picked.sort(axis=1)  # text order
         signature = np.full(len(rows), np.uint64(t + 1), dtype=np.uint64)
         for s in range(taken):
@@ -137,7 +139,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) that alignment confirms, with their similarity.
 
     Rows are laid out as one leader b and then its members a, at most about
-    ``plan.salt`` of them, so a task holds one text besides the one it reads.
+    ``plan.salt`` of them, so a task holds one text besides the one it reads.  Where
+    one id has several texts the last of them leads, and any of them may be a member.
     """
     crowd = pairs.groupBy("b").agg(F.count("*").alias("members"))
     salted = pairs.join(crowd, "b").withColumn("s", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / plan.salt)).cast("int"))
@@ -145,7 +148,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
         salted.select("b", "s", F.col("a").alias("id"), F.lit(1).alias("member"))
         .union(salted.select("b", "s", F.col("b").alias("id"), F.lit(0).alias("member")).distinct())
     )
-    rows = need.join(texts, "id").repartition("b", "s").sortWithinPartitions("b", "s", "member", "id").select("b", "s", "member", "id", "text")
+    rows = need.join(texts, "id").repartition("b", "s").sortWithinPartitions("b", "s", "member", "id", "text").select("b", "s", "member", "id", "text")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader = None, []
@@ -183,10 +186,13 @@ def duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", tex
     ``plan.least`` are never formed.
 
     Defined cases: documents with null id, null text or no word are no duplicates;
-    rows with one id and differing texts are compared as they are and go together;
-    repeated rows count once (``drop_duplicates`` removes them); ids are integers.
+    rows with one id and differing texts go together, and in each comparison that the
+    id leads the greatest of its texts stands for it; repeated rows count once
+    (``drop_duplicates`` removes them); ids are integers, and rows whose id is none
+    count as rows without; texts of any length are sketched and aligned whole; an empty
+    table has no duplicates.  Other columns, whatever their names, are not read.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    base = docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     all_sketches = materialise(_sketches(base, plan), "sketches")
     exact = all_sketches.groupBy("f1", "f2", "n").agg(F.min("id").alias("root"), F.count("*").alias("copies"))
     copies = all_sketches.join(exact.filter("copies > 1"), ["f1", "f2", "n"]).filter("id <> root").select("id", "root").distinct()
@@ -202,11 +208,21 @@ def duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", tex
     found = materialise(_verified(stars, base, plan), "near")
     first_roots = components(found.select("a", "b"))
     rooted = shared.select("tuple", "id", "n", F.col("first.id").alias("head")).join(first_roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    left = rooted.select("tuple", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = rooted.select("tuple", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "head")
+    rooted = materialise(rooted, "rooted")
+    # Only tuples with several components can join any.  Of the two ends of such a pair one at least
+    # is outside the tuple's largest component, so members of that meet the others, and not each other.
+    sizes = rooted.groupBy("tuple", "root").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("tuple").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("most")).filter("roots > 1")
+    open_ = materialise(rooted.join(several, "tuple").drop("roots"), "open")
+    left = open_.filter("root <> most").select("tuple", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = open_.select("tuple", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "most", "head")
+    rest = left.join(right, "tuple").filter("ra <> rb and (rb = most or a > b)").filter(near("na", "nb"))
     # A star pair that failed above fails again, so it needn't be formed.
-    rest = left.join(right, "tuple").filter("a > b and ra <> rb and b <> head").filter(near("na", "nb")).select("a", "b").distinct()
+    rest = rest.filter("least(a, b) <> head").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = _verified(rest, base, plan)
+    more = materialise(more, "more")
+    for table in (shared, rooted, open_):
+        drop_table(table)
     edges = found.select("a", "b").union(more.select("a", "b")).union(copies.select(F.col("id").alias("a"), F.col("root").alias("b")))
     roots = components(edges)
     prints = all_sketches.select("id", F.struct("f1", "f2", "n").alias("print"))
@@ -223,9 +239,16 @@ def duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", tex
 def drop_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns unchanged.
 
-    Cases as for ``duplicates``; of rows that repeat an id and a text one stays, also
-    where the id is null.
+    Cases as for ``duplicates``; of rows that repeat an id and a text, also where they
+    are null, the one whose other columns are least stays (maps are not compared).
     """
     gone = duplicates(docs, plan, id_col, text_col).select(F.col(id_col).alias("__gone"))
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return left.dropDuplicates([id_col, text_col])
+    left = docs.join(gone, F.col(id_col).try_cast("bigint") == F.col("__gone"), "left_anti")
+    others = [f for f in docs.schema if f.name not in (id_col, text_col)]
+    if not others:
+        return left.distinct()
+    kept = F.struct(*[F.col(f"`{f.name}`") for f in others])
+    ordered = [F.col(f"`{f.name}`") for f in others if "map<" not in f.dataType.simpleString()]
+    least = F.min(kept) if len(ordered) == len(others) else F.min_by(kept, F.struct(F.lit(0), *ordered))
+    one = left.groupBy(id_col, text_col).agg(least.alias("__kept"))
+    return one.select(*[F.col(f"`{c}`") if c in (id_col, text_col) else F.col("__kept").getField(c).alias(c) for c in docs.columns])

@@ -137,3 +137,40 @@ def test_recall_of_isolated_pairs(make_docs):
     got = {r["doc_id"]: r["duplicate_of"] for r in duplicates(make_docs(list(enumerate(texts)))).collect()}
     assert all(k == v + 1 and v % 2 == 0 for k, v in got.items())
     assert len(got) >= 0.95 * len(texts) / 2
+
+
+def test_positions_beyond_the_usual_bits_are_kept(monkeypatch):
+    from shroudspark.llm import order_minhash
+
+    long, short = " ".join(f"a{k * k % 97} b{k}" for k in range(40)), "one two three four"
+    whole = sketch(words_of(pa.array([long, short])), Plan())
+    monkeypatch.setattr(order_minhash, "_PLACES", 5)
+    mixed = sketch(words_of(pa.array([long, short])), Plan())
+    apart = [sketch(words_of(pa.array([t])), Plan())[0].tolist() for t in (long, short)]
+    assert mixed.tolist() == apart
+    assert mixed[0].tolist() == whole[0].tolist()  # all positions count, and hashes differ in their upper bits
+
+
+def test_components_that_share_tuples_are_still_joined(make_docs):
+    """Chains: each text is near its neighbours and far from the ends, beside a large group of copies of one end."""
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(500)}" for _ in range(60)]]
+    for _ in range(12):
+        own = list(texts[-1])
+        for _ in range(5):
+            own[rng.randrange(60)] = f"n{rng.randrange(500)}"
+        texts.append(own)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(100 + k, " ".join(texts[o])) for k, o in enumerate(order)] + [(k, " ".join([*texts[-1][:-1], f"t{k}"])) for k in range(40)]
+    got = {r["doc_id"]: r["duplicate_of"] for r in duplicates(make_docs(rows)).collect()}
+    assert got == {i: 0 for i, _ in rows if i}
+
+
+def test_of_repeated_rows_the_least_stays_whatever_the_order(spark):
+    rows = [(1, "a b c d", k, [k]) for k in (3, 1, 2)] + [(None, "x y z", 5, None), (None, "x y z", 4, [1])]
+    kind = "doc_id bigint, text string, rank int, `odd.name` array<int>"
+    want = {(1, "a b c d", 1, (1,)), (None, "x y z", 4, (1,))}
+    for some in (rows, rows[::-1]):
+        kept = drop_duplicates(spark.createDataFrame(some, kind).repartition(3)).collect()
+        assert {(*r[:3], tuple(r[3])) for r in kept} == want
