@@ -56,13 +56,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of an intermediate table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files of intermediate tables that nothing reads any more.
+
+    The driver's garbage is collected too, for only then Spark deletes the shuffle
+    files of the queries that wrote them.
+    """
+    jvm = tables[0].sparkSession.sparkContext._jvm
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
+#: A key is hot if it has more than one in so many rows; there are fewer hot keys than this, whatever the table.
+HOT = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for a key; rows of ``hot`` keys aren't shuffled.
+
+    What ``right`` has for them is broadcast, so ``hot`` must be bounded, as ``HOT`` keys are.
+    """
+    hot = F.broadcast(hot.select(*on))
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    return left.join(hot, on, "left_semi").join(few, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))
 
 
 def same(left: Column, right: Column) -> Column:
