@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroudspark.llm._common import same, with_text
+from shroudspark.llm._common import HOT, materialise, same, spread_join, with_text
 
 
 def normalise_line(line: Column) -> Column:
@@ -22,9 +22,11 @@ def dedup_lines(
     """Drop every line whose normal form occurs in more than ``max_docs`` documents.
 
     Lines are exploded with their positions, normalised (lower case, white space
-    collapsed) and hashed; distinct documents are counted per hash; what is left of
-    each document is put together by position.  Only hashes, ids and positions are
-    shuffled for the counts; texts move once, to meet the positions they lose.
+    collapsed) and hashed, to 96 bits; distinct documents are counted per hash; what is
+    left of each document is put together by position.  Hashes, ids and positions are
+    written once and only they are shuffled for the counts; texts move once, to meet the
+    positions they lose.  Lines that very many documents share aren't shuffled to be
+    joined with their counts, which are broadcast: there are fewer than ``HOT`` of them.
 
     ``keep_first`` leaves the line in the document with the lowest id, so content
     that exists only in shared lines survives once.
@@ -35,27 +37,33 @@ def dedup_lines(
     dropped; a document that loses all lines has the empty text; a line repeated
     within a document counts once; repeated rows with one id count as one document
     and are all cleaned alike; rows with a null id count as one unknown document,
-    which ranks before all others.  Other columns are carried along under any name.
+    which ranks before all others; texts and lines of any length are treated whole; an
+    empty table stays empty.  Other columns are carried along under any name that
+    doesn't begin with ``__line``.
     """
-    i, h, p, g, n, w, bad, parts = (f"__line_{x}" for x in ("id", "row", "pos", "hash", "n", "first", "bad", "parts"))
+    i, h, p, g, g2, n, w, bad, parts = (f"__line_{x}" for x in ("id", "row", "pos", "hash", "check", "n", "first", "bad", "parts"))
     lines = docs.select(
         F.col(id_col).alias(i),
         F.xxhash64(F.col(text_col)).alias(h),
-        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias(p, "__line"),
+        # Outer: an inner one infers a filter that splits each text a second time.  Null texts go with the blank lines.
+        F.posexplode_outer(F.split(F.col(text_col), "\n", -1)).alias(p, "__line"),
     )
     hashed = (
         lines.withColumn("__line", normalise_line(F.col("__line")))
         .filter(F.col("__line") != "")
-        .select(i, h, p, F.xxhash64("__line").alias(g))
+        .select(i, h, p, F.xxhash64("__line").alias(g), F.hash("__line").alias(g2))
     )
+    hashed = materialise(hashed, "lines")
     over = (
-        hashed.select(g, i)
+        hashed.select(g, g2, i)
         .distinct()
-        .groupBy(g)
+        .groupBy(g, g2)
         .agg(F.count("*").alias(n), F.min(F.struct(F.col(i).isNotNull(), F.col(i))).getField(i).alias(w))
         .filter(F.col(n) > max_docs)
     )
-    hits = hashed.join(over, g)
+    over = materialise(over, "shared")
+    total = over.agg(F.sum(n)).first()[0] or 0
+    hits = spread_join(hashed, over, [g, g2], over.filter(F.col(n) > total / HOT))
     if keep_first:
         hits = hits.filter(~same(F.col(i), F.col(w)))
     positions = hits.groupBy(i, h).agg(F.collect_set(p).alias(bad))

@@ -42,3 +42,13 @@ def test_empty_tables_and_very_long_texts(make_docs):
 def test_markup_and_signs_survive(make_docs):
     text = "tab\there\r\n$1 \\n {x}\né漢\U0001f600"
     assert texts(dedup_lines(make_docs([(1, text)]))) == {(1, text): (3, 0)}
+
+
+def test_hot_lines_are_joined_apart_with_equal_results(make_docs, monkeypatch):
+    from shroudspark.llm import line_dedup
+
+    docs = make_docs([(k, f"own {k}\nhot\n" + ("warm\n" if k % 3 == 0 else "") + ("cold" if k < 2 else "")) for k in range(30)])
+    want = texts(dedup_lines(docs, max_docs=3, keep_first=True))
+    monkeypatch.setattr(line_dedup, "HOT", 2)  # of the two shared lines one is hot
+    assert texts(dedup_lines(docs, max_docs=3, keep_first=True)) == want
+    assert want[(0, "own 0\nhot\nwarm\ncold")] == (4, 0) and want[(1, "own 1\ncold")] == (3, 1) and len(want) == 30
