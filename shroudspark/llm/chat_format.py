@@ -72,29 +72,29 @@ def windows(
         least = F.greatest(i - plan.history_turns, F.lit(0))
         return least + F.size(F.filter(F.slice("sums", least + 1, i - least), lambda s: s < F.get("sums", i) - plan.history))
 
-    def end(i: Column) -> Column:
-        """Turn after the last new one of the window that begins with turn i."""
-        room = F.get("sums", begin(i)) + plan.budget - F.col("fixed")
+    def end(i: Column, h: Column) -> Column:
+        """Turn after the last new one of the window that begins with turn i, and its history with turn h."""
+        room = F.get("sums", h) + plan.budget - F.col("fixed")
         # Each turn costs its markers at least, which bounds the turns to look at.
         near = F.slice("sums", i + 2, plan.budget // plan.overhead + 1) if plan.overhead > 0 else F.slice("sums", i + 2, F.size("sums"))
         return i + F.greatest(F.size(F.filter(near, lambda s: s <= room)), F.lit(1))
 
-    state = F.struct(F.lit(0).alias("next"), F.expr("CAST(array() AS array<struct<a:int,b:int>>)").alias("found"))
-    step = lambda s, i: F.when(
-        i == s["next"], F.struct(end(i).alias("next"), F.concat(s["found"], F.array(F.struct(i.alias("a"), end(i).alias("b")))).alias("found"))
-    ).otherwise(s)
+    state = F.struct(F.lit(0).alias("next"), F.expr("CAST(array() AS array<struct<a:int,h:int,b:int>>)").alias("found"))
+    window = lambda i: F.transform(F.array(begin(i)), lambda h: F.struct(i.alias("a"), h.alias("h"), end(i, h).alias("b")))
+    grow = lambda s, w: F.struct(w[0]["b"].alias("next"), F.concat(s["found"], w).alias("found"))
+    step = lambda s, i: F.when(i == s["next"], F.transform(F.array(window(i)), lambda w: grow(s, w))[0]).otherwise(s)
     walked = F.aggregate(F.sequence(F.lit(0), F.size("talk") - 1), state, step)["found"]
     # Each window takes its own turns before windows become rows, so no row holds the whole conversation.
     part = lambda a, b: F.slice("talk", a + 1, b - a)
     cut = F.transform(
         walked,
         lambda w: F.struct(
-            part(begin(w["a"]), w["a"]).alias("old"),
+            part(w["h"], w["a"]).alias("old"),
             part(w["a"], w["b"]).alias("new"),
-            (F.col("fixed") + F.get("sums", w["b"]) - F.get("sums", begin(w["a"]))).alias("n"),
+            (F.col("fixed") + F.get("sums", w["b"]) - F.get("sums", w["h"])).alias("n"),
         ),
     )
-    each = grouped.select("c", "head", cut.alias("cut")).select("c", "head", F.posexplode("cut").alias("window", "w"))
+    each = grouped.select("c", "head", cut.alias("cut")).select("c", "head", F.posexplode_outer("cut").alias("window", "w"))  # outer: no filter is inferred that would do all this twice
     turn = lambda new: lambda y: F.struct(y["r"].alias("r"), y["x"].alias("x"), F.lit(new).alias("new"))
     each = each.withColumn("shown", F.concat(F.transform("head", turn(False)), F.transform("w.old", turn(False)), F.transform("w.new", turn(True))))
     mark = lambda y: F.concat(F.lit("<|"), y["r"], F.lit("|>\n"))
