@@ -21,6 +21,7 @@ class Settings:
     unicode: bool = False  # word borders and digits of all scripts, not ASCII alone
     most_segments: int = 20_000  # of one document
     types: tuple[str, ...] | None = None  # None: all
+    extra: tuple = ()  # further detectors (``operators.detect.Detector``), after those that are built in
     context: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {
             "AU_ABN": ("abn", "australian business number"),

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shroudspark.functions.spans import let
 from shroudspark.functions.text import only_digits
 
 _ABN = (10, *range(1, 20, 2))
@@ -37,8 +38,7 @@ def _sure(test: Column) -> Column:
 
 def valid_abn(value: Column) -> Column:
     """Eleven digits; the weighted sum, the first digit less by one, is a multiple of 89."""
-    d = only_digits(value)
-    return _sure((F.length(d) == 11) & ((weighted(d, _ABN) - _ABN[0]) % 89 == 0))
+    return _sure(let(only_digits(value), lambda d: (F.length(d) == 11) & ((weighted(d, _ABN) - _ABN[0]) % 89 == 0)))
 
 
 def acn_check(stem: Column) -> Column:
@@ -46,21 +46,19 @@ def acn_check(stem: Column) -> Column:
 
 
 def valid_acn(value: Column) -> Column:
-    d = only_digits(value)
-    return _sure((F.length(d) == 9) & (acn_check(d) == _at(d, 9)))
+    return _sure(let(only_digits(value), lambda d: (F.length(d) == 9) & (acn_check(d) == _at(d, 9))))
 
 
 def valid_tfn(value: Column) -> Column:
     """Nine digits, or the eight of older numbers; the weighted sum is a multiple of 11."""
-    d = only_digits(value)
-    total = F.when(F.length(d) == 9, weighted(d, _TFN9)).when(F.length(d) == 8, weighted(d, _TFN8))
-    return _sure(total % 11 == 0)
+    total = lambda d: F.when(F.length(d) == 9, weighted(d, _TFN9)).when(F.length(d) == 8, weighted(d, _TFN8))
+    return _sure(let(only_digits(value), lambda d: total(d) % 11 == 0))
 
 
 def valid_medicare(value: Column) -> Column:
     """Ten or eleven digits from 2 to 6 on; the ninth checks the first eight."""
-    d = only_digits(value)
-    return _sure(F.length(d).isin(10, 11) & _at(d, 1).between(2, 6) & (weighted(d, _MEDICARE) % 10 == _at(d, 9)))
+    fits = lambda d: F.length(d).isin(10, 11) & _at(d, 1).between(2, 6) & (weighted(d, _MEDICARE) % 10 == _at(d, 9))
+    return _sure(let(only_digits(value), fits))
 
 
 def complete_acn(stem: Column) -> Column:
@@ -90,8 +88,7 @@ def spaced(digits: Column, groups: Sequence[int]) -> Column:
 
 def valid_card(value: Column) -> Column:
     """Thirteen to nineteen digits with a Luhn check digit (ISO/IEC 7812)."""
-    d = only_digits(value)
-    return _sure(F.length(d).between(13, 19) & F.call_function("luhn_check", d))
+    return _sure(let(only_digits(value), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d)))
 
 
 def valid_iban(value: Column) -> Column:

@@ -20,34 +20,65 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Texts of all matches, for uses without offsets."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+_MARK, _PART = "\x01", "\x02"
 
 
-def find(text: Column, pattern: str, kind: str, score: float, tail: int | None = None) -> Column:
-    """Spans of all matches, left to right.
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
 
-    The text between matches comes from splitting by the same pattern, so starts are
-    running sums of lengths.  The pattern must not match the empty string.  With
-    ``tail``, the group of that number, caught in a lookahead, lengthens each span
-    without moving where the search goes on.
+
+def plain(text: Column) -> Column:
+    """The text without the two signs that mark matches; no offset changes."""
+    marks = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_PART))
+    return F.when(marks, F.translate(text, _MARK + _PART, "\ufffd\ufffd")).otherwise(text)
+
+
+def marked(text: Column, pattern: str, groups: int = 0) -> Column:
+    """The text with its matches between marks, in one pass; unchanged without a match.
+
+    The first ``groups`` groups of the pattern, which may lie in a lookahead, follow each
+    match.  The pattern must not match the empty string.
     """
-    found = matches(text, pattern)
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    extra = F.regexp_extract_all(text, F.lit(pattern), F.lit(tail)) if tail is not None else F.transform(found, lambda v: F.lit(""))
-    rows = F.zip_with(F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("v"), F.length(g).alias("g"))), extra, lambda r, t: F.struct(r["v"].alias("v"), r["g"].alias("g"), t.alias("t")))
-    state = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("spans"))
+    return F.regexp_replace(text, pattern, _MARK + "$0" + "".join(f"{_PART}${k}" for k in range(1, groups + 1)) + _MARK)
+
+
+def places(text: Column, make: Callable[[Column, Column, Column], Column]) -> Column:
+    """``make`` of (value, start, groups) for each match of a marked text that has one, left to right.
+
+    Starts are sums of the lengths before, first over blocks of 64 pieces and then
+    within one, so that long texts with many matches take no time square in them.
+    """
+    block = 64
+
+    def each(pieces: Column, lengths: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int"))
+        totals = F.transform(blocks, lambda b: _total(F.slice(lengths, b * block + 1, F.lit(block))))
 
-    def step(s: Column, r: Column) -> Column:
-        start = s["at"] + r["g"]
-        value = F.concat(r["v"], r["t"])
-        span = F.struct(
-            F.lit(kind).alias("type"), start.alias("start"), (start + F.length(value)).alias("end"), F.lit(score).alias("score"), value.alias("value")
-        )
-        return F.struct((start + F.length(r["v"])).alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+        def one(totals: Column, k: Column) -> Column:
+            at = 2 * k - 1
+            b = F.floor(at / block).cast("int")
+            start = _total(F.slice(totals, F.lit(1), b)) + _total(F.slice(lengths, b * block + 1, at - b * block))
+            parts = F.split(F.get(pieces, at), _PART, -1)
+            return let(parts, lambda g: make(g[0], start, g))
 
-    return F.when(F.size(found) > 0, F.aggregate(rows, state, step)["spans"]).otherwise(F.expr(NO_SPANS))
+        return let(totals, lambda t: F.transform(F.sequence(F.lit(1), F.floor(F.size(pieces) / 2).cast("int")), lambda k: one(t, k)))
+
+    own = lambda p: F.length(F.substring_index(p, _PART, 1))
+    return let(F.split(text, _MARK, -1), lambda pieces: let(F.transform(pieces, own), lambda lengths: each(pieces, lengths)))
+
+
+def span(kind: Column, start: Column, value: Column, score: Column) -> Column:
+    return F.struct(kind.alias("type"), start.alias("start"), (start + F.length(value)).alias("end"), score.alias("score"), value.alias("value"))
+
+
+def find(text: Column, pattern: str, kind: str, score: float) -> Column:
+    """Spans of all matches, left to right."""
+    make = lambda value, start, _: span(F.lit(kind), start, value, F.lit(score))
+
+    def found(clean: Column) -> Column:
+        return let(marked(clean, pattern), lambda m: F.when(m != clean, places(m, make)).otherwise(F.expr(NO_SPANS)))
+
+    return F.coalesce(let(plain(text), found), F.expr(NO_SPANS))
 
 
 def guarded(test: Column, spans: Column) -> Column:
@@ -70,17 +101,20 @@ def disjoint(spans: Column) -> Column:
     step = lambda a, r: F.when(
         r["start"] >= a["last"], F.struct(r["span"]["end"].alias("last"), F.concat(a["kept"], F.array(r["span"])).alias("kept"))
     ).otherwise(a)
-    return F.aggregate(order, state, step)["kept"]
+
+    def kept(rows: Column) -> Column:
+        meet = F.exists(F.sequence(F.lit(1), F.size(rows) - 1), lambda k: rows[k]["start"] < rows[k - 1]["span"]["end"])
+        return F.when((F.size(rows) > 1) & meet, F.aggregate(rows, state, step)["kept"]).otherwise(F.transform(rows, lambda r: r["span"]))
+
+    return let(order, kept)
 
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its type in angle brackets; overlaps are resolved first."""
-    clean = disjoint(spans)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        out = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["type"], F.lit(">"))
-        return F.struct(s["end"].alias("at"), out.alias("out"))
+    def pieces(clean: Column) -> Column:
+        end = lambda k: F.when(k > 0, F.get(clean, k - 1)["end"]).otherwise(F.lit(0))
+        piece = lambda s, k: F.concat(F.substring(text, end(k) + 1, s["start"] - end(k)), F.lit("<"), s["type"], F.lit(">"))
+        return F.concat(F.array_join(F.transform(clean, piece), ""), F.substring(text, end(F.size(clean)) + 1, F.length(text)))
 
-    finish = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(clean, state, step, finish)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(disjoint(spans), pieces)).otherwise(text)

@@ -28,7 +28,7 @@ def _groups(*sizes: str, gap: str = r"\s?") -> str:
 
 @dataclass(frozen=True)
 class Detector:
-    """``spans`` makes the detector's spans; ``cheap`` may rule a text out before."""
+    """A pattern; ``valid`` says which of its matches count, and ``cheap`` may rule a text out before."""
 
     type: str
     pattern: str
@@ -36,13 +36,19 @@ class Detector:
     valid: Callable[[Column], Column] | None = None
     cheap: Callable[[Column], Column] | None = None
     flags: str = ""
+    groups: int = 0  # of the pattern, that follow each match for ``longer``
+    longer: Callable[[Column, Column], Column] | None = None  # (value and score) of a match, from its value and groups
 
-    def spans(self, text: Column, settings: Settings) -> Column:
+    def marked(self, text: Column, low: Column, settings: Settings) -> Column:
+        """The text with the matches marked; null where context or the cheap test rule it out."""
         flags = self.flags + ("U" if settings.unicode else "")
-        found = spans.find(text, f"(?{flags}){self.pattern}" if flags else self.pattern, self.type, self.score)
-        if self.valid is not None:
-            found = spans.keep(found, lambda s: self.valid(s["value"]))
-        return spans.guarded(self.cheap(text), found) if self.cheap is not None else found
+        out = spans.marked(text, f"(?{flags}){self.pattern}" if flags else self.pattern, self.groups)
+        tests = [contains_any(low, words)] if (words := settings.context.get(self.type)) else []
+        if self.cheap is not None:
+            tests.append(self.cheap(text))
+        for test in tests[::-1]:
+            out = F.when(test, out)
+        return out
 
 
 def _has(*signs: str) -> Callable[[Column], Column]:
@@ -139,51 +145,45 @@ def postcode_fits(state: Column, code: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def address_spans(text: Column) -> Column:
-    """Streets, lengthened by suburb, state and postcode; a postcode of another state is left out."""
-    streets = spans.find(text, _ADDRESS, "AU_ADDRESS", 0.4)
-    tail, suburb, state, code = (F.regexp_extract_all(text, F.lit(_ADDRESS), F.lit(g)) for g in (1, 2, 3, 4))
-    parts = F.arrays_zip(streets.alias("s"), tail.alias("tail"), suburb.alias("suburb"), state.alias("state"), code.alias("code"))
-
-    def longer(p: Column) -> Column:
-        s = p["s"]
-        wrong = (p["state"] != "") & (p["code"] != "") & ~postcode_fits(p["state"], p["code"])
-        used = F.when(wrong, F.substring(p["tail"], F.lit(1), F.length(p["tail"]) - 4)).when(
-            (p["suburb"] != "") | (p["state"] != "") | (p["code"] != ""), p["tail"]
-        ).otherwise("")
-        return F.struct(
-            s["type"].alias("type"),
-            s["start"].alias("start"),
-            (s["end"] + F.length(used)).alias("end"),
-            F.when(used != "", F.lit(0.85)).otherwise(F.lit(0.4)).alias("score"),
-            F.concat(s["value"], used).alias("value"),
-        )
-
-    return spans.guarded(text.rlike(rf"\b(?:{_STREET_TYPES})\b"), F.transform(parts, longer))
-
-
-def account_spans(text: Column, settings: Settings) -> Column:
-    """Numbers of the right length within reach of a branch code that isn't part of them."""
-    branches = spans.find(text, settings.branch_pattern, "", 0.0)
-    numbers = spans.find(text, settings.account_pattern, "AU_BANK_ACCOUNT", 0.85)
+def _whole_address(value: Column, groups: Column) -> Column:
+    """A street, lengthened by suburb, state and postcode; a postcode of another state is left out."""
+    tail, suburb, state, code = (groups[k] for k in range(1, 5))
+    wrong = (state != "") & (code != "") & ~postcode_fits(state, code)
+    used = F.when(wrong, F.substring(tail, F.lit(1), F.length(tail) - 4)).when((suburb != "") | (state != "") | (code != ""), tail).otherwise("")
+    return spans.let(used, lambda u: F.struct(F.concat(value, u).alias("value"), F.when(u != "", F.lit(0.85)).otherwise(F.lit(0.4)).alias("score")))
+
+
+_STREETS = Detector("AU_ADDRESS", _ADDRESS, 0.4, cheap=lambda t: t.rlike(rf"\b(?:{_STREET_TYPES})\b"), groups=4, longer=_whole_address)
+#: Branch codes are found as spans of no type, of which only accounts make use.
+_BRANCH = ""
+
+
+def _near_branch(s: Column, codes: Column, settings: Settings) -> Column:
+    """Whether a number has the right length and stands within reach of a branch code that isn't part of it."""
     lo, hi = settings.account_digits
+    fits = F.length(only_digits(s["value"])).between(lo, hi)
+    own = F.exists(codes, lambda b: spans.overlaps(s["start"], s["end"], b))
+    reach = F.exists(codes, lambda b: F.least(F.abs(s["start"] - b["end"]), F.abs(b["start"] - s["end"])) <= settings.account_reach)
+    return fits & reach & ~own
 
-    def near(s: Column, codes: Column) -> Column:
-        fits = F.length(only_digits(s["value"])).between(lo, hi)
-        own = F.exists(codes, lambda b: spans.overlaps(s["start"], s["end"], b))
-        reach = F.exists(codes, lambda b: F.least(F.abs(s["start"] - b["end"]), F.abs(b["start"] - s["end"])) <= settings.account_reach)
-        return fits & ~own & reach
 
-    both = F.struct(numbers.alias("numbers"), branches.alias("codes"))
-    found = spans.let(both, lambda p: spans.keep(p["numbers"], lambda s: near(s, p["codes"])))
-    return spans.guarded(text.rlike(settings.branch_pattern), found)
+def detectors(settings: Settings) -> list[Detector]:
+    """All that the settings ask for, in the order of their spans."""
+    out = [d for d in DETECTORS if settings.wants(d.type)]
+    if settings.wants("ENGAGEMENT_CODE"):
+        out.append(Detector("ENGAGEMENT_CODE", settings.engagement_pattern, 0.6))
+    if settings.wants("AU_BANK_ACCOUNT"):
+        branch = lambda t: t.rlike(settings.branch_pattern)
+        out += [Detector(_BRANCH, settings.branch_pattern, 1.0), Detector("AU_BANK_ACCOUNT", settings.account_pattern, 0.85, cheap=branch)]
+    if settings.wants("AU_ADDRESS"):
+        out.append(_STREETS)
+    if settings.wants("CREDENTIAL"):
+        out += [Detector("CREDENTIAL", pattern, score, cheap=_low(*signs), flags="ism") for pattern, score, signs in SECRETS]
+    return out + [d for d in settings.extra if settings.wants(d.type)]
 
 
-def secret_spans(text: Column, settings: Settings) -> Column:
-    low = F.lower(text)
-    flags = "ismU" if settings.unicode else "ism"
-    each = [spans.guarded(contains_any(low, signs), spans.find(text, f"(?{flags}){pattern}", "CREDENTIAL", score)) for pattern, score, signs in SECRETS]
-    return F.concat(*each)
+def _low(*signs: str) -> Callable[[Column], Column]:
+    return lambda text: contains_any(F.lower(text), signs)
 
 
 def phone_survives(value: Column, low: Column) -> Column:
@@ -194,48 +194,69 @@ def phone_survives(value: Column, low: Column) -> Column:
     return ~F.contains(value, F.lit(".")) & (contains_any(low, _PHONE_WORDS) | strong | grouped)
 
 
-def precise(found: Column, text: Column, settings: Settings) -> Column:
+def _precise(s: Column, low: Column, settings: Settings) -> Column:
     """What is left of spans: enough score, context words where a type needs them, and in
     strict mode letters, unless the type is proven or a phone survives, and no digits in model names."""
-
-    def test(s: Column, low: Column) -> Column:
-        ok = s["score"] >= settings.threshold
-        for kind, words in settings.context.items():
+    ok = s["score"] >= settings.threshold
+    for kind, words in settings.context.items():
+        if settings.wants(kind):
             ok = ok & ((s["type"] != kind) | contains_any(low, words))
-        if settings.strict:
-            proven = s["type"].isin(*settings.context, *_PROVEN)
-            ok = ok & (has_letter(s["value"]) | proven | ((s["type"] == "PHONE_NUMBER") & phone_survives(s["value"], low)))
-            ok = ok & ~(s["type"].isin(*MODEL_TYPES) & has_digit(s["value"]))
-        return ok
-
-    both = F.struct(found.alias("found"), F.lower(text).alias("low"))
-    return spans.let(both, lambda p: spans.keep(p["found"], lambda s: test(s, p["low"])))
+    if settings.strict:
+        proven = s["type"].isin(*settings.context, *_PROVEN)
+        ok = ok & (has_letter(s["value"]) | proven | ((s["type"] == "PHONE_NUMBER") & phone_survives(s["value"], low)))
+        ok = ok & ~(s["type"].isin(*MODEL_TYPES) & has_digit(s["value"]))
+    return ok
 
 
 def span_column(text: Column, settings: Settings = Settings(), model: Callable[[Column], Column] | None = None) -> Column:
     """All spans of a text, in the order of the detectors.
 
-    ``model`` may add spans of names from elsewhere (a function from the text column to
-    an array of spans); without it PERSON, ORGANIZATION and LOCATION aren't found.
+    Every pattern passes over the text once and marks its matches; what has marks is
+    taken apart, validated and filtered in one expression for all detectors.  ``model``
+    may add spans of names from elsewhere (a function from the text column to an array
+    of spans, such as ``known.gazetteer``); without it PERSON, ORGANIZATION and LOCATION
+    aren't found.
     """
-    low = F.lower(text)
-    parts = []
-    for d in DETECTORS:
-        if settings.wants(d.type):
-            own = d.spans(text, settings)
-            words = settings.context.get(d.type)
-            parts.append(spans.guarded(contains_any(low, words), own) if words else own)
-    if settings.wants("ENGAGEMENT_CODE"):
-        parts.append(spans.find(text, settings.engagement_pattern, "ENGAGEMENT_CODE", 0.6))
-    if settings.wants("AU_BANK_ACCOUNT"):
-        parts.append(account_spans(text, settings))
-    if settings.wants("AU_ADDRESS"):
-        parts.append(address_spans(text))
-    if settings.wants("CREDENTIAL"):
-        parts.append(secret_spans(text, settings))
-    if model is not None:
-        parts.append(model(text))
-    return precise(F.concat(*parts), text, settings) if parts else F.expr(spans.NO_SPANS)
+    each = detectors(settings)
+    if not each and model is None:
+        return F.expr(spans.NO_SPANS)
+
+    def taken_apart(hit: Column) -> Column:
+        def make(value: Column, start: Column, groups: Column) -> Column:
+            whole = F.struct(value.alias("value"), hit["score"].alias("score"))
+            for k, d in enumerate(each):
+                if d.longer is not None:
+                    whole = F.when(hit["n"] == k, d.longer(value, groups)).otherwise(whole)
+            return spans.let(whole, lambda w: F.struct(hit["n"].alias("n"), spans.span(hit["type"], start, w["value"], w["score"]).alias("s")))
+
+        return spans.places(hit["marked"], make)
+
+    def valid(p: Column) -> Column:
+        ok = F.lit(True)
+        for k, d in enumerate(each):
+            if d.valid is not None:
+                ok = F.when(p["n"] == k, d.valid(p["s"]["value"])).otherwise(ok)
+        return F.coalesce(ok, F.lit(False))
+
+    def of(clean: Column, low: Column) -> Column:
+        hits = F.array(*(F.struct(F.lit(k).alias("n"), F.lit(d.type).alias("type"), F.lit(d.score).alias("score"), d.marked(clean, low, settings).alias("marked")) for k, d in enumerate(each)))
+        found = F.flatten(F.transform(F.filter(hits, lambda h: h["marked"] != clean), taken_apart))
+        good = F.transform(F.filter(found, valid), lambda p: p["s"])
+
+        def left(all_: Column) -> Column:
+            test = lambda s: (s["type"] != _BRANCH) & _precise(s, low, settings)
+            if not settings.wants("AU_BANK_ACCOUNT"):
+                return F.filter(all_, test)
+
+            def near(codes: Column) -> Column:
+                return F.filter(all_, lambda s: test(s) & ((s["type"] != "AU_BANK_ACCOUNT") | _near_branch(s, codes, settings)))
+
+            return spans.let(F.filter(all_, lambda s: s["type"] == _BRANCH), near)
+
+        parts = ([good] if each else []) + ([model(clean)] if model is not None else [])
+        return spans.let(F.concat(*parts), left)
+
+    return F.coalesce(spans.let(spans.plain(text), lambda t: spans.let(F.lower(t), lambda low: of(t, low))), F.expr(spans.NO_SPANS))
 
 
 def with_spans(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), model: Callable[[Column], Column] | None = None, out: str = "spans") -> DataFrame:
@@ -246,4 +267,13 @@ def with_spans(df: DataFrame, text_col: str = "text", settings: Settings = Setti
 def detect(df: DataFrame, keys: list[str], text_col: str = "text", settings: Settings = Settings(), model: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row (keys, type, start, end, score) for each span; the values stay inside."""
     found = with_spans(df.select(*keys, F.col(text_col).alias("__text")), "__text", settings, model, "__spans")
-    return found.select(*keys, F.explode("__spans").alias("s")).select(*keys, "s.type", "s.start", "s.end", "s.score")
+    return explode_spans(found, "__spans", keys).select(*keys, "s.type", "s.start", "s.end", "s.score")
+
+
+def explode_spans(found: DataFrame, spans_col: str, keys: list[str]) -> DataFrame:
+    """(keys, s), a row for each span.
+
+    Outer, and filtered afterwards: from an inner explode a filter on the number of spans
+    is inferred, for which all detectors would run a second time.
+    """
+    return found.select(*keys, F.explode_outer(spans_col).alias("s")).filter("s is not null")

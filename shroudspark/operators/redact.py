@@ -13,11 +13,12 @@ from shroudspark.operators.detect import with_spans
 
 def redact(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), known=None, model=None) -> DataFrame:
     """``df`` with every span of the text replaced by ``<TYPE>``; texts without one are unchanged."""
-    found = with_spans(df, text_col, settings, model, "__spans")
+    text = F.col(f"`{text_col}`")
+    found = with_spans(df, f"`{text_col}`", settings, model, "__spans")
     if known is not None:
-        found = found.withColumn("__spans", F.concat("__spans", F.coalesce(known(F.col(text_col)), F.expr(spans.NO_SPANS))))
+        found = found.withColumn("__spans", F.concat("__spans", F.coalesce(known(text), F.expr(spans.NO_SPANS))))
     # Generated, not projected: filters on the text aren't pushed through and planned with all detectors again.
-    masked = F.inline(F.array(F.struct(spans.mask(F.col(text_col), F.col("__spans")).alias(text_col))))
+    masked = F.inline(F.array(F.struct(spans.mask(text, F.col("__spans")).alias(text_col))))
     return found.select(*(F.col(f"`{c}`") for c in df.columns if c != text_col), masked).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
@@ -34,27 +35,29 @@ def leaking(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: s
     """Rows of ``df`` whose text gives a term away: a form is part of one of its normal forms.
 
     The forms' size is looked up first.  Up to ``most_broadcast`` bytes they are sent to
-    every executor as one array; beyond it the two sides meet on words: a form can be
-    part of a text only if the text holds the form's longest word, if need be inside
-    a word of its own, so each text is cut into its words' pieces of up to that length.
+    every executor as one array; beyond it the two sides meet on pieces: a form can be
+    part of a text only if the text holds the form's first four characters.  Pieces go
+    with fingerprints of the texts, not with the texts, which meet the forms that they
+    may hold once.  Forms of fewer characters are no more than there are such strings.
     """
     listed = forms(terms, term_col)
     size = listed.agg(F.sum(F.octet_length("form"))).first()[0] or 0
-    prepared = df.withColumns({"__norm": F.lower(normalize_ws(F.col(text_col))), "__canon": canonicalize(F.col(text_col))})
+    text = F.col(f"`{text_col}`")
+    holds = lambda form: F.contains(F.col("__norm"), form) | F.contains(F.col("__canon"), form)
+    prepared = df.withColumns({"__norm": F.lower(normalize_ws(text)), "__canon": canonicalize(text)})
     if size <= most_broadcast:
         array = F.broadcast(listed.agg(F.collect_list("form").alias("__forms")))
-        hit = F.exists("__forms", lambda f: F.contains(F.col("__norm"), f) | F.contains(F.col("__canon"), f))
-        return prepared.crossJoin(array).filter(hit).drop("__norm", "__canon", "__forms")
-    width = 4  # every form has a piece of this length, or is itself shorter
-    piece = F.substring("form", 1, width)
-    short = listed.filter(F.length("form") < width).agg(F.collect_list("form").alias("__forms"))
-    keyed = listed.filter(F.length("form") >= width).withColumn("__piece", piece)
-    own = prepared.withColumn("__row", F.monotonically_increasing_id())
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(F.col(c), k, F.lit(width)))
-    pieces = own.select("__row", "__norm", "__canon", F.explode(F.array_union(cut("__norm"), cut("__canon"))).alias("__piece"))
-    met = pieces.join(keyed, "__piece").filter("contains(__norm, form) or contains(__canon, form)").select("__row").distinct()
-    tiny = own.crossJoin(F.broadcast(short)).filter("exists(__forms, f -> contains(__norm, f) or contains(__canon, f))").select("__row")
-    return own.join(met.union(tiny).distinct(), "__row", "left_semi").drop("__row", "__norm", "__canon")
+        return prepared.crossJoin(array).filter(F.exists("__forms", holds)).drop("__norm", "__canon", "__forms")
+    width = 4
+    long, few = F.length("form") >= width, listed.filter(F.length("form") < width)
+    texts = prepared.filter(text.isNotNull()).select("__norm", "__canon").withColumns({"__h1": F.xxhash64("__norm", "__canon"), "__h2": F.xxhash64(F.lit(1), "__norm", "__canon")}).distinct()
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda k: F.substring(F.col(c), k, F.lit(width)))
+    pieces = texts.select("__h1", "__h2", F.explode_outer(F.array_union(cut("__norm"), cut("__canon"))).alias("__piece"))
+    may = pieces.join(listed.filter(long).withColumn("__piece", F.substring("form", 1, width)), "__piece").select("__h1", "__h2", "form").distinct()
+    met = texts.join(may, ["__h1", "__h2"]).filter(holds(F.col("form"))).select("__norm", "__canon")
+    short = F.broadcast(few.agg(F.collect_list("form").alias("__forms")))
+    tiny = texts.crossJoin(short).filter(F.exists("__forms", holds)).select("__norm", "__canon")
+    return prepared.join(met.union(tiny).distinct(), ["__norm", "__canon"], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def value_free(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:

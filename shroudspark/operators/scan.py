@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
 from shroudspark.functions.text import normalize_ws
-from shroudspark.operators.detect import with_spans
+from shroudspark.operators.detect import explode_spans, with_spans
 
 SEGMENTS = "document string, seg_no bigint, locator string, kind string, text string"
 
 
 def line_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Non-empty lines of texts as prose segments, numbered from 1 as lines are."""
-    lines = docs.select(F.col(id_col).cast("string").alias("document"), F.posexplode(F.split(text_col, "\n", -1)).alias("p", "line"))
+    lines = docs.select(F.col(id_col).cast("string").alias("document"), F.posexplode_outer(F.split(text_col, "\n", -1)).alias("p", "line"))
     rows = lines.select("document", (F.col("p") + 1).cast("bigint").alias("seg_no"), normalize_ws(F.col("line")).alias("text")).filter("text <> ''")
     return rows.select("document", "seg_no", F.concat(F.lit("line "), F.col("seg_no")).alias("locator"), F.lit("prose").alias("kind"), "text")
 
@@ -53,7 +53,7 @@ def findings(segments: DataFrame, settings: Settings = Settings(), known=None, m
     found = with_spans(segments, "text", settings, model)
     if known is not None:
         found = found.withColumn("spans", F.concat("spans", known(F.col("text"))))
-    return found.select("document", "locator", F.explode("spans").alias("s")).select(F.col("s.type").alias("type"), "document", F.col("locator").alias("location"))
+    return explode_spans(found, "spans", ["document", "locator"]).select(F.col("s.type").alias("type"), "document", F.col("locator").alias("location"))
 
 
 def counts(found: DataFrame) -> DataFrame:

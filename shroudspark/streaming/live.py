@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
-from shroudspark.operators.detect import with_spans
+from shroudspark.operators.detect import explode_spans, with_spans
 from shroudspark.operators.redact import redact
 
 __all__ = ["counts_by_window", "findings", "redact"]
@@ -15,7 +15,7 @@ __all__ = ["counts_by_window", "findings", "redact"]
 def findings(stream: DataFrame, keys: list[str], text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(keys, type) for each span; stateless, so every output mode will do."""
     found = with_spans(stream.select(*keys, F.col(text_col).alias("__text")), "__text", settings)
-    return found.select(*keys, F.explode("spans").alias("s")).select(*keys, F.col("s.type").alias("type"))
+    return explode_spans(found, "spans", keys).select(*keys, F.col("s.type").alias("type"))
 
 
 def counts_by_window(

@@ -155,3 +155,43 @@ def test_scan_report_reads_every_line(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = queries.scan_report(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in rows] == [("EMAIL_ADDRESS", "1", "line 20002", 1)]
+
+
+def test_long_lists_of_names_are_matched_as_short_ones(spark, monkeypatch):
+    names = ["Brightwater Holdings Pty Ltd", "Alder", "Alder Creek Limited", "Pty Ltd", "Émile & Co", "Alder"]
+    texts = ["BRIGHTWATER HLDGS P/L pays alder creek ltd.", "Alder Alder, x_Alder alders", "émile, Emile", "", None, "\x01Alder\x02 Brightwater  holdings"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    get = lambda find: [(r["k"], r["s"]) for r in df.select("k", find(F.col("text")).alias("s")).orderBy("k").collect()]
+    for fuzzy in (False, True):
+        short = get(known.known_spans(names, fuzzy))
+        monkeypatch.setattr(known, "MOST_PATTERNS", 0)
+        assert get(known.known_spans(names, fuzzy)) == short
+        monkeypatch.undo()
+        assert [s["value"] for s in short[0][1]] == ["BRIGHTWATER HLDGS P/L", "alder creek ltd."] and len(short[1][1]) == 3
+
+
+def test_listed_names_stand_in_for_a_model(spark):
+    model = known.gazetteer({"PERSON": ["Ada Hull", "R2 D2"], "LOCATION": ["Perth"]})
+    got = found(spark, ["Ada  Hull of Perth", "ada hull of perth", "R2 D2 in Perthshire"], Settings(types=()), model=model)
+    assert got == [[("PERSON", "Ada  Hull"), ("LOCATION", "Perth")], [], []]
+
+
+def test_offsets_of_many_matches_are_those_of_the_text(spark):
+    """More matches than a block of pieces, signs beyond the basic plane, and the signs that mark matches."""
+    text = "".join(f"\U0001f600\x01é {k}@b{k}.example.com\x02 " for k in range(150))
+    df = spark.createDataFrame([(1, text)], "k int, text string")
+    rows = detect.detect(df, ["k"], settings=Settings(types=("EMAIL_ADDRESS",))).orderBy("start").collect()
+    want = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+@b[0-9]+\.example\.com", text)]
+    assert [(r["start"], r["end"]) for r in rows] == want and len(want) == 150
+    (masked,) = redact.redact(df, settings=Settings(types=("EMAIL_ADDRESS",))).collect()
+    assert masked["text"] == re.sub(r"[0-9]+@b[0-9]+\.example\.com", "<EMAIL_ADDRESS>", text)
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    raw = [("B", 4, 9), ("A", 0, 6), ("C", 0, 3), ("D", 9, 11), ("E", 20, 30)]
+    df = spark.createDataFrame([("0123456789abcdefghijklmno", [(t, a, b, 1.0, "") for t, a, b in raw])], "text string, spans " + "array<struct<type:string,start:int,end:int,score:double,value:string>>")
+    from shroudspark.functions import spans
+
+    row = df.select(spans.mask(F.col("text"), F.col("spans")).alias("m"), spans.disjoint(F.col("spans")).alias("d")).first()
+    assert [s["type"] for s in row["d"]] == ["A", "D", "E"]
+    assert row["m"] == "<A>678<D>bcdefghij<E>"
