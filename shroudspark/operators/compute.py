@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 from collections.abc import Mapping
 from typing import NamedTuple
 
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroudspark.config import Settings
-from shroudspark.functions import spans
-from shroudspark.operators.detect import with_spans
+from shroudspark.operators.redact import redact
 
 CAVEAT = "Masked by pattern; aggregate before you share."
 _REFUSED = ("java_method", "reflect", "try_reflect", "read_files", "input_file_name", "python_worker", "from_file", "url_encode_file")
@@ -44,15 +44,16 @@ def mask_strings(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     out = df
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
-            out = with_spans(out, f"`{f.name}`", settings, out="__spans")
-            out = out.withColumn(f.name, spans.mask(F.col(f"`{f.name}`"), F.col("__spans"))).drop("__spans")
+            out = redact(out, f.name, settings)
     return out
 
 
 def safe_query(query: str, tables: Mapping[str, DataFrame], rows: int = 1000, settings: Settings = Settings()) -> DataFrame:
     """The result of one SELECT over named tables, its strings masked, ``rows`` rows at most.
 
-    Nested values are turned into JSON strings first, so that they are masked too.
+    The text is checked first, and then the plan: every relation that it reads must be one
+    of those that the tables read.  Nested values are turned into JSON strings, so that
+    they are masked too.  Which rows a limit leaves is the query's order to say.
     """
     check(query)
     if not tables:
@@ -65,14 +66,46 @@ def safe_query(query: str, tables: Mapping[str, DataFrame], rows: int = 1000, se
 def _over(query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Run the query with the tables as common table expressions, which hide all others of their names."""
     session = next(iter(tables.values())).sparkSession
-    for name, table in tables.items():
+    mark = f"__protected_{uuid.uuid4().hex}"
+    for name in tables:
         if not re.fullmatch(r"[A-Za-z_]\w*", name):
             raise Refused(f"{name!r} is no table name")
-        table.createOrReplaceTempView(f"__protected_{name}")
-    bodies = ", ".join(f"{name} AS (SELECT * FROM __protected_{name})" for name in tables)
+    bodies = ", ".join(f"{name} AS (SELECT * FROM {mark}_{name})" for name in tables)
     plain = query.strip().rstrip(";")
-    rest = re.sub(r"(?is)^with\s+", "", plain)
-    return session.sql(f"WITH {bodies}, {rest}" if rest != plain else f"WITH {bodies} {plain}")
+    rest = re.sub(r"(?is)^with\s+(recursive\s+)?", "", plain)
+    recursive = "RECURSIVE " if re.match(r"(?is)with\s+recursive\b", plain) else ""
+    try:
+        for name, table in tables.items():
+            table.createOrReplaceTempView(f"{mark}_{name}")
+        found = session.sql(f"WITH {recursive}{bodies}, {rest}" if rest != plain else f"WITH {bodies} {plain}")
+    finally:  # the plan that was made holds the tables themselves
+        for name in tables:
+            session.catalog.dropTempView(f"{mark}_{name}")
+    allowed = [node.canonicalized() for table in tables.values() for node in _nodes(table) if node.children().isEmpty()]
+    inner = {node.desc().identifier().table() for table in tables.values() for node in _nodes(table) if node.nodeName() == "View"}
+    for node in _nodes(found):
+        if node.nodeName() == "View" and not (name := node.desc().identifier().table()).startswith(mark) and name not in inner:
+            raise Refused("only the tables that are named may be read")
+        if node.children().isEmpty() and node.nodeName() not in _HARMLESS and not any(node.canonicalized().equals(own) for own in allowed):
+            raise Refused("only the tables that are named may be read")
+    return found
+
+
+#: Relations that hold nothing but what the query says itself, and the references of a recursive one to itself.
+_HARMLESS = ("LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "UnionLoopRef")
+
+
+def _nodes(df: DataFrame) -> list:
+    """The nodes of a plan as it was analysed, in subqueries too."""
+    plan = df._jdf.queryExecution().analyzed()
+    below = plan.subqueriesAll()
+    left, out = [plan, *(below.apply(k) for k in range(below.size()))], []
+    while left:
+        node = left.pop()
+        out.append(node)
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return out
 
 
 class Output(NamedTuple):

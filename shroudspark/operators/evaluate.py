@@ -6,22 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _same_place(key: DataFrame, detections: DataFrame) -> F.Column:
-    return (F.col("k.document") == F.col("d.document")) & (F.contains("d.text", "k.value") | (F.contains("k.value", "d.text") & (F.length("d.text") >= 4)))
+def _pieces(rows: DataFrame, text: str, others: DataFrame, other: str, least: int = 1) -> DataFrame:
+    """``rows`` (document, text) with each part of ``text``, as ``__piece``, that is as long as one of the ``other`` texts.
+
+    So that one text is part of another becomes equality, which is joined by hash.  The
+    lengths are one row; there are no more of them than characters in the longest text.
+    """
+    lengths = others.filter(F.length(other) >= least).agg(F.collect_set(F.length(other)).alias("__lengths"))
+    fits = F.filter("__lengths", lambda n: n <= F.length(text))
+    cut = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, n))))
+    return rows.crossJoin(F.broadcast(lengths)).select("document", text, F.explode_outer(F.array_distinct(cut)).alias("__piece")).filter("__piece is not null")
+
+
+def _matches(key: DataFrame, detections: DataFrame, least: int) -> DataFrame:
+    """(document, value, text): a text that holds a planted value, or is a part of it of ``least`` characters or more."""
+    values = key.select("document", "value").distinct()
+    texts = detections.select("document", "text").distinct()
+    holds = _pieces(texts, "text", values, "value").join(values.withColumn("__piece", F.col("value")), ["document", "__piece"])
+    part = _pieces(values, "value", texts, "text", least).join(texts.withColumn("__piece", F.col("text")), ["document", "__piece"])
+    return holds.select("document", "value", "text").unionByName(part.select("document", "value", "text"))
 
 
 def caught(key: DataFrame, detections: DataFrame) -> DataFrame:
     """``key`` (document, type, value, expected, ...) with ``caught``: some detection of the
     document holds the value, or is a part of it of four characters or more."""
-    numbered = key.withColumn("__item", F.monotonically_increasing_id())
-    hit = numbered.alias("k").join(detections.alias("d"), _same_place(key, detections), "left_semi").select("__item")
-    return numbered.join(hit.withColumn("caught", F.lit(True)), "__item", "left").withColumn("caught", F.coalesce("caught", F.lit(False))).drop("__item")
+    hit = _matches(key, detections, 4).select("document", "value").distinct().withColumn("caught", F.lit(True))
+    return key.join(hit, ["document", "value"], "left").select(*key.columns, F.coalesce("caught", F.lit(False)).alias("caught"))
 
 
 def false_positives(key: DataFrame, detections: DataFrame) -> DataFrame:
     """Detections that neither hold nor are part of any planted value of their document."""
-    match = (F.col("k.document") == F.col("d.document")) & (F.contains("d.text", "k.value") | F.contains("k.value", "d.text"))
-    return detections.alias("d").join(key.alias("k"), match, "left_anti")
+    return detections.join(_matches(key, detections, 1).select("document", "text").distinct(), ["document", "text"], "left_anti").select(*detections.columns)
+
+
+def false_by_type(key: DataFrame, detections: DataFrame) -> DataFrame:
+    """(entity_type, n_false) of the types that have any, by type."""
+    return false_positives(key, detections).groupBy("entity_type").agg(F.count("*").alias("n_false")).orderBy("entity_type")
+
+
+def in_place(detections: DataFrame, name: str) -> DataFrame:
+    """(n): detections whose locator contains a name, whatever its case; those of sheets where nothing may be found."""
+    return detections.agg(F.count_if(F.contains(F.lower("locator"), F.lit(name.lower()))).alias("n"))
 
 
 def recall(scored: DataFrame) -> DataFrame:
@@ -49,12 +74,24 @@ def f1(p: F.Column, r: F.Column) -> F.Column:
     return F.when(p + r > 0, F.bround(2 * p * r / (p + r), 3)).otherwise(0.0)
 
 
+def scorecard(key: DataFrame, detections: DataFrame) -> DataFrame:
+    """One row: items and detections, what of them was caught, suppressed or wrong, recall, precision and their F1."""
+    overall = recall(caught(key, detections)).filter("type is null").drop("type")
+    one = overall.crossJoin(precision(key, detections).withColumnsRenamed({"n": "n_found"}))
+    return one.withColumn("f1", f1(F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0))))
+
+
+def first_records(records: DataFrame, n: int, order: str = "record") -> DataFrame:
+    """The first ``n`` records in their order, for a quick score."""
+    return records.orderBy(order).limit(n)
+
+
 def span_recall(gold: DataFrame, found: DataFrame) -> DataFrame:
     """(type, n, n_caught, recall): gold spans (record, type, start, end) that some found span
     (record, start, end) of the record overlaps."""
-    numbered = gold.withColumn("__item", F.monotonically_increasing_id())
+    places = gold.select("record", "start", "end").distinct()
     touch = (F.col("g.record") == F.col("f.record")) & (F.col("f.start") < F.col("g.end")) & (F.col("g.start") < F.col("f.end"))
-    hit = numbered.alias("g").join(found.alias("f"), touch, "left_semi").select("__item", F.lit(1).alias("hit"))
-    return numbered.join(hit, "__item", "left").groupBy("type").agg(
+    hit = places.alias("g").join(found.alias("f"), touch, "left_semi").withColumn("hit", F.lit(1))
+    return gold.join(hit, ["record", "start", "end"], "left").groupBy("type").agg(
         F.count("*").alias("n"), F.count("hit").alias("n_caught"), F.round(F.count("hit") / F.count("*"), 3).alias("recall")
     )

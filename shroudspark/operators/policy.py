@@ -40,15 +40,23 @@ def manifest_rules(manifest: Mapping | None) -> tuple[tuple[tuple[str, str], ...
     return tuple((str(r.get("glob", "")), str(r.get("label", default))) for r in manifest.get("rules", [])), default
 
 
-def label_by_table(paths: DataFrame, rules: DataFrame, path_col: str = "path", default: str = "public") -> DataFrame:
-    """As ``label``, with rules from a table (ord, glob, label); the last match wins."""
-    pattern = F.concat(F.lit(r"(?s)\A"), F.regexp_replace(F.regexp_replace(F.lower("glob"), r"([.+(){}|^$\\])", r"\\$1"), r"\*", ".*"), F.lit(r"\z"))
-    listed = rules.select("ord", pattern.alias("__pattern"), F.lower("label").alias("__label")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "__pattern", "__label"))).alias("__rules")
-    )
-    low = F.lower(F.col(path_col))
-    last = F.try_element_at(F.filter("__rules", lambda r: F.regexp_like(low, r["__pattern"])), F.lit(-1))["__label"]
-    return paths.crossJoin(F.broadcast(listed)).withColumn("label", F.coalesce(last, F.lit(default))).drop("__rules")
+def label_by_table(paths: DataFrame, rules: DataFrame, path_col: str = "path", default: str = "public", most_rules: int = 10_000) -> DataFrame:
+    """As ``label``, with rules from a table (ord, glob, label); the last match wins.
+
+    Rules are read to the driver, where globs become patterns as they do for ``label``;
+    more than ``most_rules`` are an error.  Up to a hundred become one expression, more
+    are sent to the executors as one array.
+    """
+    listed = [(r["glob"] or "", r["label"]) for r in rules.orderBy("ord", "glob", "label").limit(most_rules + 1).collect() if r["label"] is not None]
+    if len(listed) > most_rules:
+        raise ValueError(f"there are more than {most_rules} rules")
+    if len(listed) <= 100:
+        return paths.withColumn("label", label(F.col(path_col), listed, default))
+    spark = paths.sparkSession
+    rows = spark.createDataFrame([([(glob_pattern(g), name.lower()) for g, name in listed if g],)], "__rules array<struct<pattern:string,label:string>>")
+    low = F.replace(F.lower(F.col(path_col)), F.lit("\\"), F.lit("/"))
+    last = F.try_element_at(F.filter("__rules", lambda r: F.regexp_like(low, r["pattern"])), F.lit(-1))["label"]
+    return paths.crossJoin(F.broadcast(rows)).withColumn("label", F.coalesce(last, F.lit(default.lower()))).drop("__rules")
 
 
 def blocked(path: Column, rules: Sequence[tuple[str, str]] = BUILT_IN, default: str = "public") -> Column:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shroudspark.operators import compute, evaluate, policy, profile
@@ -73,5 +75,50 @@ def test_only_reading_queries_run(spark):
     for bad in ("DROP TABLE events", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1", "SELECT java_method('a', 'b')", "SELECT * FROM parquet.`/x`", "SELECT reflect ('a')"):
         with pytest.raises(compute.Refused):
             compute.check(bad)
+    for bad in ("SELECT * FROM others", "SELECT who FROM events WHERE n IN (SELECT n FROM others)", "WITH events AS (SELECT * FROM others) SELECT * FROM events"):
+        spark.range(5).selectExpr("id AS n", "'secret' AS who").createOrReplaceTempView("others")
+        with pytest.raises((compute.Refused, AnalysisException)):
+            compute.safe_query(bad, {"events": events}).collect()
+        spark.catalog.dropTempView("others")
+    grown = compute.safe_query("WITH RECURSIVE r(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM r WHERE k < 3) SELECT count(*) AS c, max(n) AS m FROM r JOIN events ON n = k", {"events": events})
+    assert tuple(grown.first()) == (2, 2)
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("__protected")]
     text = compute.run_query("SELECT who FROM events ORDER BY who", {"events": events}, chars=6)
     assert text.text == "who\n<E" and text.truncated and not text.timed_out
+
+
+@pytest.mark.parametrize("more", [0, 150])
+def test_tables_of_rules_label_as_rules_do(spark, more):
+    """Single signs, sets, back slashes, capitals and the default's case; few rules and many."""
+    paths = ["/a/b1/c", "C:\\Data\\x.txt", "/q/axc/", "/q/bxc/", "/q/(1)/[z].pdf", "/n.o/p$", "", None, "/A/B1/C"]
+    rules = [(f"*/none{k}/*", "never") for k in range(more)] + [("*/b?/*", "Confidential"), ("*/data/*", "restricted"), ("*/[!b]x?/*", "odd"), ("*/(1)/*", "open"), ("*/n.o/p$", "end"), ("", "all")]
+    df = spark.createDataFrame(list(enumerate(paths)), "k int, path string")
+    listed = spark.createDataFrame([(k, g, lab) for k, (g, lab) in enumerate(rules)], "ord int, glob string, label string")
+    want = {r["k"]: r["label"] for r in df.select("k", policy.label(F.col("path"), rules, "Public").alias("label")).collect()}
+    assert want == {0: "confidential", 1: "restricted", 2: "odd", 3: "public", 4: "open", 5: "end", 6: "public", 7: "public", 8: "confidential"}
+    assert {r["k"]: r["label"] for r in policy.label_by_table(df, listed, default="Public").collect()} == want
+    with pytest.raises(ValueError):
+        policy.label_by_table(df, listed, most_rules=3)
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 8)))
+    key = [(rng.choice("de"), rng.choice("AB"), word(), rng.choice(("detect", "suppress", "gap")), "") for _ in range(40)] + [("d", "A", None, "detect", ""), (None, "A", "ab", "detect", "")] * 2
+    seen = [(rng.choice("def"), rng.choice("XY"), word()) for _ in range(40)] + [("d", "X", None), (None, "Y", "ab")] * 2
+    items = spark.createDataFrame(key, "document string, type string, value string, expected string, note string").repartition(3)
+    found = spark.createDataFrame(seen, "document string, entity_type string, text string").repartition(3)
+    ok = lambda *xs: all(x is not None for x in xs)
+    hit = lambda k, d: ok(k[0], k[2], d[2]) and k[0] == d[0] and (k[2] in d[2] or (d[2] in k[2] and len(d[2]) >= 4))
+    got = evaluate.caught(items, found)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*k, any(hit(k, d) for d in seen))) for k in key)
+    wrong = [d for d in seen if not any(ok(k[0], k[2], d[2]) and k[0] == d[0] and (k[2] in d[2] or d[2] in k[2]) for k in key)]
+    assert sorted(map(str, map(tuple, evaluate.false_positives(items, found).collect()))) == sorted(map(str, wrong))
+    by_type = {r["entity_type"]: r["n_false"] for r in evaluate.false_by_type(items, found).collect()}
+    assert by_type == {t: n for t in "XY" if (n := sum(d[1] == t for d in wrong))}
+    card = evaluate.scorecard(items, found).first()
+    n = [sum(k[3] == "detect" for k in key), sum(k[3] == "detect" and any(hit(k, d) for d in seen) for k in key)]
+    assert (card["n_detect"], card["n_caught"], card["n_found"], card["n_false"]) == (*n, len(seen), len(wrong))
+    assert card["f1"] == round(2 * card["precision"] * card["recall"] / (card["precision"] + card["recall"]), 3)
+    none = spark.createDataFrame([], found.schema)
+    assert evaluate.scorecard(items, none).first()["f1"] == 0.0
