@@ -21,17 +21,20 @@ class Documents(NamedTuple):
     segments: DataFrame  # document, seg_no, locator, kind, text, page
     notes: DataFrame  # document, code, message
     coverage: DataFrame  # document, page, chars, median, flag
-    files: DataFrame  # document
+    files: DataFrame  # document, in the order of the paths
 
 
 def read_documents(spark: SparkSession, path: str) -> Documents:
-    """All supported files at or below a path, by their base names.
+    """All supported files at or below a path, by their base names, or by their whole paths where a name occurs twice.
 
     Every file is read in the task that lists it; one that is broken, encrypted or of an
     unknown kind yields a note and no segments, and never stops the others.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    named = found.select(F.element_at(F.split("path", "/"), -1).alias("document"), "path", "content", "length")
+    base = F.element_at(F.split("path", "/"), -1)
+    twice = found.select(base.alias("base")).groupBy("base").count().filter("count > 1").select("base", F.lit(True).alias("twice"))
+    named = found.withColumn("base", base).join(twice, "base", "left")
+    named = named.select(F.when(F.col("twice"), F.col("path")).otherwise(F.col("base")).alias("document"), "path", "content")
     known = F.lower(F.regexp_extract("document", r"(\.[^.]+)$", 1)).isin(*READERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +48,7 @@ def read_documents(spark: SparkSession, path: str) -> Documents:
     notes = rows.filter("code is not null").select("document", "code", "message").unionByName(skipped)
     paged = rows.filter("code is null and page is not null")
     chars = paged.groupBy("document", "page").agg(F.sum(F.when(F.col("kind") != "prose_block", F.length("text")).otherwise(0)).alias("chars"))
-    return Documents(segments, notes, page_coverage(chars), named.select("document"))
+    return Documents(segments, notes, page_coverage(chars), named.orderBy("path").select("document"))
 
 
 def _rows(document: str, content: bytes) -> Iterator[tuple]:

@@ -6,6 +6,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from io import BytesIO
 from typing import NamedTuple
 from xml.etree import ElementTree as ET
@@ -48,8 +49,11 @@ def read_workbook(content: bytes) -> Iterator[Segment]:
         strings = []
         if "xl/sharedStrings.xml" in names:
             strings = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
+        formats = _date_formats(z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
         links = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         book = ET.fromstring(z.read("xl/workbook.xml"))
+        late = any(_local(e.tag) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book)
+        epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
         for sheet in (e for e in book.iter() if _local(e.tag) == "sheet"):
             target = links[next(v for k, v in sheet.attrib.items() if _local(k) == "id")]
             part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
@@ -57,6 +61,9 @@ def read_workbook(content: bytes) -> Iterator[Segment]:
                 if _local(cell.tag) != "c":
                     continue
                 value = _cell_value(cell, strings)
+                style = cell.get("s", "0")
+                if value and cell.get("t", "n") == "n" and style.isdigit() and int(style) < len(formats) and formats[int(style)]:
+                    value = _moment(value, epoch)
                 place = _CELL.match(cell.get("r", ""))
                 if place and (text := squeeze(value)):
                     kind = "excel_header" if place[2] == "1" else "excel_cell"
@@ -64,6 +71,36 @@ def read_workbook(content: bytes) -> Iterator[Segment]:
                 cell.clear()
 
 
+_DATES = {*range(14, 23), *range(45, 48)}  # the number formats of dates and times that every workbook has
+
+
+def _date_formats(styles: bytes) -> list[bool]:
+    """Whether each cell style shows a number as a date or a time."""
+    root = ET.fromstring(styles)
+    own = {}
+    for e in root.iter():
+        if _local(e.tag) == "numFmt":
+            bare = re.sub(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", e.get("formatCode", ""))
+            own[int(e.get("numFmtId", 0))] = bool(re.search("[dmyhs]", bare.split(";")[0], re.I)) and "general" not in bare.lower()
+    cells = next((e for e in root if _local(e.tag) == "cellXfs"), ())
+    number = [int(x.get("numFmtId", 0)) for x in cells if _local(x.tag) == "xf"]
+    return [own.get(n, n in _DATES) for n in number]
+
+
+def _moment(serial: str, epoch: datetime) -> str:
+    """Days since the epoch as a date with its time; within the first day as a time alone."""
+    try:
+        days = float(serial)
+        moment = epoch + timedelta(days=int(days), seconds=round((days - int(days)) * 86_400))
+    except (ValueError, OverflowError):
+        return serial
+    if 0 <= days < 1:
+        return str(moment.time())
+    if epoch.year == 1899 and 0 < days < 60:  # that calendar has a 29 February 1900
+        moment += timedelta(days=1)
+    return str(moment)
+
+
 def _cell_value(cell: ET.Element, strings: list[str]) -> str:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
@@ -128,17 +165,31 @@ def _shown(stream: bytes) -> list[str]:
     return [t for t in map(squeeze, [*lines, "".join(line)]) if t]
 
 
+def _packed(body: bytes) -> dict[int, bytes]:
+    """The objects of an object stream: numbers and offsets first, then the objects."""
+    parts, first = _STREAM.match(body), re.search(rb"/First\s+(\d+)", body)
+    if not parts or not first:
+        return {}
+    data = zlib.decompress(parts[2]) if b"FlateDecode" in parts[1] else parts[2]
+    head = [int(x) for x in data[: int(first[1])].split()]
+    starts = [int(first[1]) + at for at in head[1::2]]
+    return {number: data[a:b] for number, a, b in zip(head[::2], starts, [*starts[1:], len(data)])}
+
+
 def read_pdf(content: bytes) -> Iterator[Segment]:
     """Lines of each page and the page as one block, so that what is broken over lines is found.
 
-    Reads plain objects with Flate or no compression and fonts with one-byte codes; an
-    encrypted file, or one with its pages in object streams, is an error.
+    Reads objects, also those in object streams, with Flate or no compression and fonts
+    with one-byte codes; an encrypted file is an error.  Tables are read as lines.
     """
     if not content.lstrip().startswith(b"%PDF"):
         raise ValueError("not a PDF file")
     if b"/Encrypt" in content:
         raise ValueError("encrypted")
     objects = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
+    for body in list(objects.values()):
+        if re.search(rb"/Type\s*/ObjStm\b", body):
+            objects |= {k: v for k, v in _packed(body).items() if k not in objects}
     pages = [body for body in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
     if not pages:
         raise ValueError("no readable pages")

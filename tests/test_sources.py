@@ -92,3 +92,46 @@ def test_lists_manifests_and_keys(spark, tmp_path):
     (tmp_path / "records.json").write_text(json.dumps([{"full_text": "t", "spans": [{"entity_type": "A", "start_position": 0, "end_position": 1}]}]))
     assert files.labelled_records(spark, str(tmp_path / "records.json")).first()["spans"][0]["end_position"] == 1
     assert files.write_once(str(tmp_path / "new" / "f"), "a") and not files.write_once(str(tmp_path / "new" / "f"), "b")
+
+
+def test_dates_of_workbooks_are_dates():
+    styles = (
+        f'<styleSheet xmlns="{_S}"><numFmts count="2"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="&quot;day&quot; 0.00 [Red]"/></numFmts>'
+        '<cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="21"/></cellXfs></styleSheet>'
+    )
+    cells = "".join(f'<c r="{c}2" s="{s}"><v>{v}</v></c>' for c, s, v in (("A", 0, 32874), ("B", 1, 32874), ("C", 2, 45292.5), ("D", 3, 45292), ("E", 4, 0.25), ("F", 1, "x"), ("G", 9, 7)))
+    def book(pr: str) -> bytes:
+        return zipped(
+            {
+                "xl/workbook.xml": f'<workbook xmlns="{_S}" xmlns:r="{_R}">{pr}<sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>',
+                "xl/_rels/workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+                "xl/styles.xml": styles,
+                "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_S}"><sheetData><row r="2">{cells}</row></sheetData></worksheet>',
+            }
+        )
+
+    assert [s.text for s in office.read_workbook(book(""))] == ["32874", "1990-01-01 00:00:00", "2024-01-01 12:00:00", "45292", "06:00:00", "x", "7"]
+    assert [s.text for s in office.read_workbook(book('<workbookPr date1904="1"/>'))][1] == "1994-01-02 00:00:00"
+
+
+def test_pages_in_object_streams():
+    inner = b"<< /Type /Pages /Kids [2 0 R] >> << /Type /Page /Contents 3 0 R >>"
+    packed = zlib.compress(b"1 0 2 33 " + inner)
+    shown = zlib.compress(b"BT (packed page) Tj ET")
+    content = (
+        b"%PDF-1.5\n3 0 obj << /Filter /FlateDecode >> stream\n" + shown + b"\nendstream endobj\n"
+        b"5 0 obj << /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode >> stream\n" + packed + b"\nendstream endobj\n"
+    )
+    assert [s.text for s in office.read_pdf(content)] == ["packed page", "packed page"]
+
+
+def test_files_of_one_name_in_two_folders_are_two_documents(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "book.xlsx").write_bytes(workbook())
+    (tmp_path / "memo.docx").write_bytes(document())
+    found = files.read_documents(spark, str(tmp_path))
+    names = [r["document"] for r in found.files.collect()]
+    assert [n.rpartition("/")[2] for n in names] == ["book.xlsx", "book.xlsx", "memo.docx"] and len(set(names)) == 3
+    assert names[0].endswith("/a/book.xlsx") and names[2] == "memo.docx"
+    assert {r["document"] for r in found.segments.collect()} == set(names)
