@@ -214,7 +214,8 @@ def checksum_fp_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("k"))
     keys = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("source"), F.col("l_orderkey").alias("k")).unionByName(orders)
     ok = checksums.valid_tfn(F.lpad(F.col("k").cast("string"), 8, "0"))
-    return keys.groupBy("source").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_valid"), F.round(F.count_if(ok) / F.count("*"), 4).alias("rate"))
+    found = keys.groupBy("source").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_valid"))
+    return found.withColumn("rate", F.round(F.col("n_valid") / F.col("n"), 4))
 
 
 @query(f"""
@@ -499,7 +500,7 @@ def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.lit("").alias("note"),
     )
     value = F.when(k % 5 == 0, F.concat(F.lit("<v"), "s", F.lit(">"))).when(k % 5 == 1, F.substring("s", 3, 6)).when(k % 5 == 2, F.substring("s", 6, 3)).otherwise(F.concat(F.lit("z"), "s"))
-    found = base.select((k % 50).cast("string").alias("document"), F.lit("X").alias("entity_type"), value.alias("text"), F.lit("line 1").alias("locator"), F.lit(1.0).alias("score"))
+    found = base.select((k % 50).cast("string").alias("document"), F.lit("X").alias("entity_type"), value.alias("text"), F.concat(F.lit("line "), "o_orderkey").alias("locator"), F.lit(1.0).alias("score"))
     return key, found
 
 
