@@ -33,12 +33,21 @@ _BREAK = frozenset(
     "legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 _HIDDEN = frozenset("script style noscript template svg math head".split())
+#: Hidden elements that browsers end by themselves, or that are shown if nothing ends them.
+_SOFT = frozenset("noscript template svg math".split())
+#: Elements that can't stand in drawings and formulas, so that they end them.
+_LEAVES = frozenset("b big blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li nobr ol p pre small span strong sub sup table u ul".split())
 #: Elements whose hidden content the parser hands over as text and that end with their own tag only.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags) of each line, and the title."""
+    """Collects (text, tags) of each line, and the title.
+
+    What stands in a hidden element is collected too, and taken back when the element
+    ends; so an element that nothing ends hides nothing, but for scripts and styles, whose
+    text goes on to the end of the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -47,6 +56,7 @@ class Lines(HTMLParser):
         self._words: list[str] = []
         self._tags = 0
         self._hidden: list[str] = []
+        self._before: tuple[int, list[str], int] | None = None  # what was there when the outermost soft element began
         self._title: list[str] | None = None
 
     def _end_line(self) -> None:
@@ -55,22 +65,37 @@ class Lines(HTMLParser):
             self.lines.append((text, self._tags))
         self._words, self._tags = [], 0
 
+    def _shown(self) -> bool:
+        return all(h in _SOFT or h == "foreignobject" for h in self._hidden)
+
+    def _show_again(self) -> None:
+        """The outermost hidden element has ended: what it held is taken back."""
+        if self._before is not None:
+            number, self._words, self._tags = self._before
+            del self.lines[number:]
+            self._before = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _BREAK:
+        if tag in _LEAVES and self._hidden and self._hidden[-1] in ("svg", "math"):
+            self._hidden = []
+            self._show_again()
+        if tag in _BREAK and self._shown():
             self._end_line()
-            if tag == "body":  # a head that is never closed ends here
-                self._hidden = [h for h in self._hidden if h != "head"]
-        if tag == "title" and self.title is None and self._title is None:
+        if tag == "body":  # a head that is never closed ends here
+            self._hidden = [h for h in self._hidden if h != "head"]
+        if tag == "title" and self.title is None and self._title is None and self._hidden in ([], ["head"]):
             self._title = []
-        if tag in _HIDDEN:
+        if tag in _HIDDEN or tag == "foreignobject" and "svg" in self._hidden:
+            if tag in _SOFT and not self._hidden:
+                self._before = (len(self.lines), list(self._words), self._tags)
             self._hidden.append(tag)
-        elif not self._hidden:
+        elif self._shown():
             self._tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in _BREAK:
+        if tag in _BREAK and self._shown():
             self._end_line()
-        if not self._hidden:
+        if self._shown():
             self._tags += 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -79,15 +104,17 @@ class Lines(HTMLParser):
         if tag in self._hidden:
             while self._hidden.pop() != tag:
                 pass
-        elif not self._hidden and tag not in _VOID:
+            if not self._hidden:
+                self._show_again()
+        elif self._shown() and tag not in _VOID:
             self._tags += 1
-        if tag in _BREAK:
+        if tag in _BREAK and self._shown():
             self._end_line()
 
     def handle_data(self, data: str) -> None:
         if self._title is not None:
             self._title.append(data)
-        elif not self._hidden:
+        elif self._shown():
             self._words.append(data)
 
     def close(self) -> None:
@@ -132,7 +159,9 @@ def extract(pages: DataFrame, plan: Plan = Plan(), html_col: str = "html") -> Da
 
     Defined cases: a null page has null title and content and no lines; an empty page,
     or one without text, has empty content; broken markup is read as far as it goes;
-    pages are read whole at any length; equal pages have equal results.
+    pages are read whole at any length; equal pages have equal results; of equal ratios
+    all are on one side of the threshold; an empty table has no rows.  Other columns,
+    but for one called ``__page``, are carried along.
     """
 
     @F.arrow_udf("struct<title:string,content:string,n_lines:int,n_content:int>")

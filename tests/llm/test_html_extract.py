@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import random
+import re
+
 import numpy as np
 
 from shroudspark.llm.html_extract import Lines, Plan, content_lines, extract, extract_page, smooth
@@ -57,3 +61,68 @@ def test_cases(spark):
     assert len(got[5][0][1]) == 499_999
     assert got[1][0] == got[1][1] == extract_page(PAGE, Plan())
     assert extract(pages.limit(0)).count() == 0
+
+
+def shown(html):
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    return [t for t, _ in parser.lines if t]
+
+
+def test_elements_that_nothing_ends_hide_nothing():
+    assert shown("<p>a<svg><text>t</text></svg>b<p>c") == ["ab", "c"]
+    assert shown("<p>a<svg><path><p>b</p><p>c") == ["a", "b", "c"]
+    assert shown("<p>a<math><mi>x<div>b</div>c") == ["a", "b", "c"]
+    for tag in ("noscript", "template"):
+        assert shown(f"<p>a<{tag}>b<p>c</p></{tag}>d<p>e") == ["ad", "e"]
+        assert shown(f"<p>a</p><{tag}><p>b</p><p>c") == ["a", "b", "c"]
+        assert shown(f"<p>a</p><{tag}><script>x</script><p>b") == ["a", "b"]
+    assert shown("<p>a<svg><foreignObject><div>x</div></foreignObject></svg>b") == ["ab"]
+    assert extract_page("<svg><title>icon</title></svg><title>page</title><p>x", Plan())[0] == "page"
+
+
+def test_pages_equal_brute_force(spark):
+    """Random pages of simple markup, taken apart by a pattern and smoothed by plain loops."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(("alpha", "be", "gamma delta", "x", "&amp;"))
+    block = lambda: rng.choice(("p", "div", "li", "h2", "td"))
+
+    def page():
+        out = []
+        for _ in range(rng.randrange(1, 30)):
+            tag, body = block(), " ".join(word() for _ in range(rng.choice((0, 2, 3, 40))))
+            links = "".join(f"<a href='{word()}'>{word()}</a> " for _ in range(rng.choice((0, 0, 6))))
+            out.append(rng.choice((f"<{tag}>{body} {links}</{tag}>", f"<{tag}>{links}<br/>{body}", "<script>var a='<p>';</script>", f"<!-- {body} -->{body}")))
+        return "\n".join(out)
+
+    def naive(html):
+        lines, text, tags = [], "", 0
+        html = re.sub(r"(?s)<script>.*?</script>|<!--.*?-->", lambda m: "\x00" if m[0].startswith("<script") else "", html)
+        for part in re.findall(r"<[^>]*>|[^<]+", html):
+            if part[0] != "<":
+                text += part.replace("\x00", "").replace("&amp;", "&")
+                continue
+            name, end = re.match(r"</?(\w+)", part)[1], part[1] == "/"
+            wide = name in ("p", "div", "li", "h2", "td", "br")
+            if wide and not end:
+                lines.append((" ".join(text.split()), tags))
+                text, tags = "", 0
+            tags += 1
+            if wide and end:
+                lines.append((" ".join(text.split()), tags))
+                text, tags = "", 0
+        lines = [(t, n) for t, n in [*lines, (" ".join(text.split()), tags)] if t or n]
+        ratio = [len(t) / max(n, 1) for t, n in lines]
+        near = [[(b, math.exp(-0.5 * (a - b) ** 2)) for b in range(max(0, a - 3), min(len(ratio), a + 4))] for a in range(len(ratio))]
+        smoothed = [sum(w * ratio[b] for b, w in row) / sum(w for _, w in row) for row in near]
+        mean = sum(smoothed) / max(len(smoothed), 1)
+        bound = 0.5 * math.sqrt(sum((s - mean) ** 2 for s in smoothed) / max(len(smoothed), 1))
+        kept = [s >= bound and s > 0 for s in smoothed]
+        for a in range(1, len(kept) - 1):
+            kept[a] = kept[a] or smoothed[a - 1] >= bound and smoothed[a - 1] > 0 and smoothed[a + 1] >= bound and smoothed[a + 1] > 0
+        return "\n".join(t for (t, _), k in zip(lines, kept) if k and t), sum(bool(t) for t, _ in lines)
+
+    pages = [(k, page()) for k in range(60)]
+    got = {r["page_id"]: (r["content"], r["n_lines"]) for r in extract(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert got == {k: naive(html) for k, html in pages}
