@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroudspark.llm._common import bounded_batches, with_text
+from shroudspark.llm._common import bounded_batches, materialise, with_text
 from shroudspark.llm._words import Words, chunks, mix64, words_of
 
 SPANS = "array<struct<start:int,end:int,item_id:bigint,words:int,coverage:double>>"
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64()), ("words", pa.int32()), ("coverage", pa.float64())]))
 
 
 class Limits(NamedTuple):
@@ -176,15 +177,16 @@ def _candidate_runs(words: Words, automaton: Automaton, least: int) -> Iterator[
 
 
 def find_spans(
-    words: Words, automaton: Automaton | Sequence[Automaton], limits: Limits, by_item: bool = False
+    words: Words, automaton: Automaton | Sequence[Automaton], limits: Limits, by_item: bool = False, before: dict[int, list[tuple]] | None = None
 ) -> dict[int, list[tuple[int, int, int, int, float]]]:
     """Row to its spans (first word, end word, item, longest match, coverage), in text order.
 
-    The matches of all lots of items are merged together.  With ``by_item`` the limits
+    The matches of all lots of items, also those found ``before``, are merged together: an
+    overlap or a short gap joins them, in whatever order.  With ``by_item`` the limits
     are tried for every item by itself, so neither lots nor other items can matter; the
     operators do so.  Otherwise they are tried for the longest match with any item only.
     """
-    found: dict[int, list[tuple[int, int, int, int, float]]] = {}
+    found: dict[int, list[tuple[int, int, int, int, float]]] = {row: list(spans) for row, spans in (before or {}).items() if spans}
     for one in [automaton] if isinstance(automaton, Automaton) else automaton:
         for row, a, b in _candidate_runs(words, one, min(limits.least, limits.length)):
             base, run = int(words.first[row]), words.hashes[a:b].tolist()
@@ -221,13 +223,13 @@ def _char_offsets(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((data[lo:hi] & 0xC0) != 0x80)))
 
 
-def scan(texts: pa.Array, automata: Sequence[Automaton], limits: Limits) -> tuple[list[list[dict]], list[float]]:
+def scan(texts: pa.Array, automata: Sequence[Automaton], limits: Limits, before: pa.Array | None = None) -> tuple[list[list[dict]], list[float]]:
     """Per row: its spans in characters, and the share of its words inside them."""
     spans: list[list[dict]] = []
     shares: list[float] = []
     for lo, hi in chunks(texts):
         words = words_of(texts.slice(lo, hi - lo))
-        found = find_spans(words, automata, limits, by_item=True)
+        found = find_spans(words, automata, limits, by_item=True, before=_before(before, lo, hi))
         for row in range(hi - lo):
             if row not in found:
                 spans.append([])
@@ -236,55 +238,80 @@ def scan(texts: pa.Array, automata: Sequence[Automaton], limits: Limits) -> tupl
             first, n = int(words.first[row]), int(words.first[row + 1] - words.first[row])
             at = int(words.row_start[row])
             chars = _char_offsets(words.data, at, int(words.row_start[row + 1]))
-            spans.append(
-                [
-                    {
-                        "start": int(chars[words.start[first + a] - at]),
-                        "end": int(chars[words.end[first + b - 1] - at]),
-                        "item_id": item,
-                        "words": length,
-                        "coverage": share,
-                    }
-                    for a, b, item, length, share in found[row]
-                ]
-            )
+            places = [(int(chars[words.start[first + a] - at]), int(chars[words.end[first + b - 1] - at]), *rest) for a, b, *rest in found[row]]
+            spans.append([_span(*p) for p in places])
             shares.append(sum(b - a for a, b, *_ in found[row]) / n)
     return spans, shares
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -> list[list[tuple[int, list[int]]]]:
-    """The items' words, in lots whose automata are small enough to send to every executor."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null")
+def _span(start: int, end: int, item: int, length: int, share: float) -> dict:
+    return {"start": start, "end": end, "item_id": item, "words": length, "coverage": share}
+
+
+def _before(spans: pa.Array | None, lo: int, hi: int) -> dict[int, list[tuple]]:
+    return {} if spans is None else {r: [tuple(s.values()) for s in own] for r, own in enumerate(spans.slice(lo, hi - lo).to_pylist()) if own}
+
+
+def _lots(benchmark: DataFrame, id_col: str, text_col: str, limits: Limits, most_bytes: int) -> list[Callable[[], Automaton]]:
+    """What makes the automata of the items, in lots of about ``most_bytes`` of text, one by one."""
+    items = benchmark.select(F.col(id_col).try_cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    lots = max(1, -(-size // most_bytes))
-    out = []
-    for lot in range(lots):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(lots)) == lot) if lots > 1 else items
+    number = max(1, -(-size // most_bytes))
+
+    def make(lot: int) -> Automaton:
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(number)) == lot) if number > 1 else items
         rows = sorted((r["i"], r["t"]) for r in part.distinct().toLocalIterator())
         words = words_of(pa.array([t for _, t in rows], pa.string()))
-        out.append([(i, words.hashes[words.first[k] : words.first[k + 1]].tolist()) for k, (i, _) in enumerate(rows)])
-    return out
+        automaton = Automaton([(i, words.hashes[words.first[k] : words.first[k + 1]].tolist()) for k, (i, _) in enumerate(rows)])
+        automaton.told(limits)  # once, here, rather than in every worker
+        return automaton
+
+    return [lambda lot=lot: make(lot) for lot in range(number)]
+
+
+def _collector(lots: list, limits: Limits):
+    """A function from texts, and the spans found before, to their spans in words."""
+
+    @F.arrow_udf(SPANS)
+    def collect(texts: pa.Array, *before: pa.Array) -> pa.Array:
+        out: list[list[dict]] = []
+        for lo, hi in chunks(texts):
+            words = words_of(texts.slice(lo, hi - lo))
+            found = find_spans(words, [lot.value for lot in lots], limits, by_item=True, before=_before(before[0] if before else None, lo, hi))
+            out += [[_span(*s) for s in found.get(row, ())] for row in range(hi - lo)]
+        return pa.array(out, _SPAN_LIST)
+
+    return collect.asNondeterministic()
 
 
 def _contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, limits: Limits, most_bytes: int
+    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, limits: Limits, most_bytes: int, at_once: int
 ) -> DataFrame:
-    """``docs`` with ``__spans`` and ``__share``; benchmarks beyond ``most_bytes`` are scanned lot by lot."""
+    """``docs`` with ``__spans`` and ``__share``.
+
+    At most ``at_once`` lots of items are sent to the executors together.  A benchmark of
+    more lots takes several passes over the texts: all but the last one write what they
+    find, in words, beside the texts, and the last one merges it with its own.
+    """
     spark = docs.sparkSession
-    automata = [Automaton(lot) for lot in _shards(benchmark, item_col, item_text_col, most_bytes)]
-    for automaton in automata:
-        automaton.told(limits)  # once, here, rather than in every worker
-    lots = [spark.sparkContext.broadcast(automaton) for automaton in automata]
+    lots = _lots(benchmark, item_col, item_text_col, limits, most_bytes)
+    passes = [lots[k : k + at_once] for k in range(0, len(lots), at_once)]
+    for part in passes[:-1]:
+        shared = [spark.sparkContext.broadcast(make()) for make in part]
+        before = [F.col("__before")] if "__before" in docs.columns else []
+        docs = materialise(bounded_batches(docs).withColumn("__before", _collector(shared, limits)(F.col(text_col), *before)), "matches")
+        for lot in shared:
+            lot.destroy()
+    last = [spark.sparkContext.broadcast(make()) for make in passes[-1]]
 
     @F.arrow_udf(f"struct<spans:{SPANS},share:double>")
-    def find(texts: pa.Array) -> pa.Array:
-        spans, shares = scan(texts, [lot.value for lot in lots], limits)
-        kind = pa.list_(
-            pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64()), ("words", pa.int32()), ("coverage", pa.float64())])
-        )
-        return pa.StructArray.from_arrays([pa.array(spans, kind), pa.array(shares, pa.float64())], names=["spans", "share"])
+    def find(texts: pa.Array, *before: pa.Array) -> pa.Array:
+        spans, shares = scan(texts, [lot.value for lot in last], limits, before[0] if before else None)
+        return pa.StructArray.from_arrays([pa.array(spans, _SPAN_LIST), pa.array(shares, pa.float64())], names=["spans", "share"])
 
-    return bounded_batches(docs).withColumn("__found", find.asNondeterministic()(F.col(text_col))).withColumns({"__spans": F.col("__found.spans"), "__share": F.col("__found.share")}).drop("__found")
+    before = [F.col("__before")] if "__before" in docs.columns else []
+    found = bounded_batches(docs).withColumn("__found", find.asNondeterministic()(F.col(text_col), *before))
+    return found.withColumns({"__spans": F.col("__found.spans"), "__share": F.col("__found.share")}).drop("__found", "__before")
 
 
 def _cut(text: str, spans: str) -> F.Column:
@@ -310,6 +337,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     most_bytes: int = 1 << 20,
+    at_once: int = 16,
 ) -> DataFrame:
     """One row for each document that holds benchmark text.
 
@@ -322,10 +350,13 @@ def contaminated(
     dropping everything that is no letter or digit.  Defined cases: null or empty
     texts and items, and an empty benchmark, match nothing; repeated items count once;
     of items that hold the same passage the shortest, then the lowest id, is named;
-    repeated rows of ``docs`` are reported as often as they occur; a null id is kept.
+    repeated rows of ``docs`` are reported as often as they occur; a null id is kept;
+    texts are read whole, however long; items whose ids are no integers are left out;
+    other columns of either table, whatever their names, are not read.  Items are
+    matched in lots of about ``most_bytes`` of text, ``at_once`` of them in one pass.
     """
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
-    found = _contamination(base, benchmark, "__text", item_col, item_text_col, limits, most_bytes).filter(F.size("__spans") > 0)
+    found = _contamination(base, benchmark, "__text", item_col, item_text_col, limits, most_bytes, at_once).filter(F.size("__spans") > 0)
     dropped = F.col("__share") > limits.document
     return found.select(
         id_col,
@@ -344,12 +375,15 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     most_bytes: int = 1 << 20,
+    at_once: int = 16,
 ) -> DataFrame:
     """All documents and columns, without the spans and the documents over the limits.
 
-    The cases are those of ``contaminated``; a document without a span is unchanged.
+    The cases are those of ``contaminated``; a document without a span is unchanged, an
+    empty table stays empty, and columns may have any names but ``__before``,
+    ``__found``, ``__spans`` and ``__share``.
     """
-    found = _contamination(docs, benchmark, text_col, item_col, item_text_col, limits, most_bytes)
+    found = _contamination(docs, benchmark, text_col, item_col, item_text_col, limits, most_bytes, at_once)
     kept = found.filter(F.col("__share") <= limits.document)
     text = F.when(F.size("__spans") > 0, _cut(text_col, "__spans")).otherwise(F.col(text_col))
     return with_text(kept, text_col, text).drop("__spans", "__share")

@@ -178,3 +178,25 @@ def test_the_operator_tries_every_item(spark, make_docs):
     items = spark.createDataFrame([(1, short), (2, long)], ITEMS)
     (row,) = contaminated(make_docs([(1, f"{filler} m {short} {filler}")]), items).collect()
     assert [(s["item_id"], s["words"], s["coverage"]) for s in row["spans"]] == [(1, 8, 1.0)]
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 16])
+def test_passes_over_lots_give_what_one_automaton_gives(spark, make_docs, at_once):
+    """Items that overlap, documents with several spans out of the lots' order, and passages of items of two lots."""
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [own(rng.randrange(8, 30)) for _ in range(9)]
+    items += [items[0][:10] + own(20), own(12) + items[3], items[5]]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], ITEMS)
+    texts = []
+    for k in range(40):
+        words = own(40)
+        for _ in range(rng.randrange(0, 4)):
+            words += rng.choice(items) + own(rng.randrange(0, 30))
+        texts.append((k, " ".join(words)))
+    docs = make_docs([*texts, (None, texts[0][1]), (98, None), (99, "")])
+    rows = lambda df: sorted(map(str, df.collect()))
+    want, kept = rows(contaminated(docs, table)), rows(decontaminate(docs, table))
+    assert len(want) > 20
+    assert rows(contaminated(docs, table, most_bytes=400, at_once=at_once)) == want
+    assert rows(decontaminate(docs, table, most_bytes=400, at_once=at_once)) == kept
