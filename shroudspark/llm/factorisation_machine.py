@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroudspark.llm._common import bounded_batches
+from shroudspark.llm._common import bounded_batches, drop_table, materialise
 from shroudspark.llm._words import chunks, mix64, prefix_hashes, string_buffer, words_of
 
 
@@ -248,20 +248,28 @@ def train_on(texts: pa.Array, meta: list[pa.Array], labels: dict[str, np.ndarray
 def train(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("lang",)) -> Model:
     """Train on a bounded sample of labelled documents, drawn by a hash of their ids.
 
-    Rows without a label in either head, without id or with a null text are not used;
-    a label that repeats counts once, differing labels of one id by their least value.
+    Rows without a label in either head, without an integer id or with a null text are
+    not used; a label that repeats counts once, differing labels of one id by their least
+    value, and of rows that repeat an id the least text.  What is drawn is written once,
+    and the documents are read once for it.
     """
-    found = labels.filter("quality is not null and toxic is not null").groupBy(F.col(id_col).cast("bigint").alias("__id")).agg(F.min("quality").alias("__q"), F.min("toxic").alias("__t"))
+    number = F.col(id_col).try_cast("bigint").alias("__id")
+    found = labels.filter("quality is not null and toxic is not null").groupBy(number).agg(F.min("quality").alias("__q"), F.min("toxic").alias("__t")).filter("__id is not null")
     names = [m for m in meta if m in docs.columns]
-    text = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), *(F.col(m).cast("string").alias(f"__meta{k}") for k, m in enumerate(names))).filter("__text is not null and __id is not null")
-    size = text.agg(F.avg(F.octet_length("__text"))).first()[0] or 1.0
-    number = max(1, min(plan.sample, int(plan.sample_bytes / max(size, 1.0))))
     # Ids alone are ordered, and few more than wanted, so what meets in one task is small at any size.
     total = found.count()
     spot = F.xxhash64("__id", F.lit(plan.seed))
-    some = found if total <= 2 * number else found.filter(F.pmod(spot, F.lit(1 << 30)) < int((1 << 30) * 1.5 * number / total))
-    drawn = some.orderBy(spot, "__id").limit(number)
-    table = text.join(F.broadcast(drawn), "__id").toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
+    some = found if total <= 2 * plan.sample else found.filter(F.pmod(spot, F.lit(1 << 30)) < int((1 << 30) * 1.5 * plan.sample / total))
+    drawn = some.orderBy(spot, "__id").limit(plan.sample)
+    text = docs.select(number, F.col(text_col).alias("__text"), *(F.col(m).cast("string").alias(f"__meta{k}") for k, m in enumerate(names))).filter("__text is not null")
+    one = text.join(F.broadcast(drawn), "__id").groupBy("__id", "__q", "__t").agg(F.min(F.struct("__text", *(f"__meta{k}" for k in range(len(names))))).alias("d"))
+    own = materialise(one.select("__id", "__q", "__t", "d.*"), "labelled")
+    sizes = own.select("__id", F.octet_length("__text").alias("n")).orderBy(spot, "__id").collect()  # plan.sample rows at most
+    upto = np.cumsum([r["n"] for r in sizes])
+    kept = [(r["__id"],) for r in sizes[: max(1, int(np.searchsorted(upto, plan.sample_bytes, side="right")))]]
+    chosen = own.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "__id bigint")), "__id", "left_semi")
+    table = chosen.toArrow().sort_by("__id")
+    drop_table(own)
     column = lambda name: table[name].combine_chunks() if table.num_rows else pa.array([], pa.string())
     return train_on(
         column("__text"),
@@ -277,7 +285,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     Defined cases: a null or empty text is scored by what is left, its structure and
     metadata; texts are scored whole at any length; equal rows get equal scores; null
-    metadata is a value of its own; without any labels every document is kept.
+    metadata is a value of its own; without any labels every document is kept; a
+    probability that equals ``plan.quality`` is enough, one that equals ``plan.toxic`` is
+    too much; an empty table stays empty.  A column may have any name but ``__p``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
