@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,26 +48,43 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_written: list[str] = []  # folders of intermediate tables, in the order in which they were made
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, written and read back; all other tables that were written for it are deleted."""
+    before = len(_written)
+    out = materialise(make(), name)
+    _delete(spark, _written[before:-1])
+    del _written[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    context = spark.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete the files of intermediate tables that nothing reads any more.
 
     The driver's garbage is collected too, for only then Spark deletes the shuffle
     files of the queries that wrote them.
     """
-    jvm = tables[0].sparkSession.sparkContext._jvm
-    for df in tables:
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+    folders = {file.rpartition("/")[0] for df in tables for file in df.inputFiles()}
+    _delete(tables[0].sparkSession, folders)
 
 
 #: A key is hot if it has more than one in so many rows; there are fewer hot keys than this, whatever the table.

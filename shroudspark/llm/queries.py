@@ -17,12 +17,12 @@ from shroudspark.llm import line_dedup as _line_dedup
 from shroudspark.llm import order_minhash as _order_minhash
 from shroudspark.llm import skip_chain as _skip_chain
 from shroudspark.llm import suffix_ranks as _suffix_ranks
-from shroudspark.llm._common import read
+from shroudspark.llm._common import read, settled
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all vectors for every vector whose id is divisible by 20."""
-    return _kmeans_tree.neighbours(read(spark, sf_dir, "embeddings"), every=20)
+    return settled(spark, lambda: _kmeans_tree.neighbours(read(spark, sf_dir, "embeddings"), every=20), "neighbours")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ FROM marked GROUP BY doc_id
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_minhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return settled(spark, lambda: _order_minhash.duplicates(docs), "duplicates")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suffix_ranks.repeats(read(spark, sf_dir, "documents"))
+    return settled(spark, lambda: _suffix_ranks.repeats(read(spark, sf_dir, "documents")), "repeats")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
