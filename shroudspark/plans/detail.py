@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
 from shroudspark.functions import spans
-from shroudspark.operators import compute, detect, evaluate, known, policy, profile, redact, scan
+from shroudspark.operators import compute, corpus, detect, evaluate, known, policy, profile, redact, scan
 from shroudspark.plans import queries as core
 from shroudspark.plans.queries import query, spread, table
 from shroudspark.streaming import live
@@ -291,3 +291,28 @@ def findings_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), "event_id", F.lit("@example.com"))).otherwise("none")
     rows = table(spark, sf_dir, "events").select("ts", line.alias("text"))
     return live.counts_by_window(rows, "ts", window="1 hour", settings=Settings(types=("EMAIL_ADDRESS",)))
+
+
+#: What ``corpus.planted`` plants in each kind of row, in their order; rows of no type hold nothing.
+_PLANTED_KINDS = (
+    *(("AU_ABN", "detect"), ("AU_ABN", "suppress"), ("AU_ACN", "detect"), ("AU_ACN", "suppress"), ("AU_TFN", "detect"), ("AU_TFN", "suppress")),
+    *((kind, "detect") for kind in "MEDICARE EMAIL_ADDRESS PHONE_NUMBER CREDIT_CARD IBAN_CODE IP_ADDRESS DATE_OF_BIRTH AU_PASSPORT AU_DRIVER_LICENCE".split()),
+    *((kind, "detect") for kind in "ENGAGEMENT_CODE AU_ADDRESS CREDENTIAL".split()),
+    *(("SWIFT_BIC", "gap"), ("", ""), ("", ""), ("", "")),
+)
+
+
+@query(f"""
+WITH kinds AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{kind}', '{expected}')" for k, (kind, expected) in enumerate(_PLANTED_KINDS))}) AS t(k, type, expected)),
+items AS (SELECT type, expected FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS id) JOIN kinds ON id % {len(_PLANTED_KINDS)} = k WHERE type <> '')
+SELECT type, count(*) FILTER (WHERE expected = 'detect') AS n_detect, count(*) FILTER (WHERE expected = 'detect') AS n_caught,
+  count(*) FILTER (WHERE expected = 'suppress') AS n_suppress, count(*) FILTER (WHERE expected = 'suppress') AS n_suppressed,
+  count(*) FILTER (WHERE expected = 'gap') AS n_gap, CAST(0 AS BIGINT) AS n_gap_caught,
+  CASE WHEN count(*) FILTER (WHERE expected = 'detect') > 0 THEN CAST(1 AS DOUBLE) END AS recall
+FROM items GROUP BY ROLLUP (type)
+""")
+def planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all detectors find of planted items, as many rows of them as there are orders: all that they should, and nothing else."""
+    segments, key = corpus.planted(spark, table(spark, sf_dir, "orders").count())
+    found = detect.explode_spans(detect.with_spans(segments), "spans", ["document", "locator"])
+    return evaluate.recall(evaluate.caught(key, found.select("document", "locator", F.col("s.type").alias("entity_type"), F.col("s.value").alias("text"))))

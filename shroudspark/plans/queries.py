@@ -483,7 +483,7 @@ def twin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(NULL AS VARCHAR) AS \"column\", CAST(NULL AS VARCHAR) AS value WHERE false")
 def twin_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and dates of the twin that are in the orders: none."""
+    """Texts of the twin that are in the orders: none."""
     orders = table(spark, sf_dir, "orders")
     return profile.twin_leaks(orders, profile.twin(orders, "o_orderkey"), ["o_orderstatus", "o_orderpriority"])
 
