@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by replaying merges over a corpus of words.
 
 The texts of a block of batches are one corpus: they are split into words, each distinct
-word is laid out once as a run of symbols, and an inverted index leads from a pair of
-symbols to its positions.  Merges are then applied in rank order, each at all its
-positions at once, and only the pairs to the left and right of a merge are indexed
-anew.  Merges never cross words, so how texts are cut into blocks can't change an id.
+word that the worker hasn't met in a block before is laid out once as a run of symbols,
+and an inverted index leads from a pair of symbols to its positions.  Merges are then
+applied in rank order, each at all its positions at once, and only the pairs to the left
+and right of a merge are indexed anew.  Merges never cross words, so how texts are cut
+into blocks, and what a worker has met, can't change an id.
 """
 
 from __future__ import annotations
@@ -210,6 +211,49 @@ def _spread(data: np.ndarray, at: np.ndarray, pick: np.ndarray) -> tuple[np.ndar
     return data[np.arange(out[-1]) + np.repeat(at[pick] - out[:-1], size)], out
 
 
+class Known(NamedTuple):
+    """Words that this worker has replayed: their hashes, sorted, and where their ids are."""
+
+    hashes: np.ndarray
+    length: np.ndarray  # bytes of the word, which must agree too
+    start: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+
+MOST_KNOWN = 1 << 21  # words; beyond it a worker keeps those of the last block
+_known: dict[int, Known] = {}  # by vocabulary
+
+
+def _ids_of(vocabulary: Vocabulary, hashes: np.ndarray, sizes: np.ndarray, blob: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of distinct words and their offsets; merges are replayed for words that are new to this worker.
+
+    ``hashes`` are sorted; word ``k`` is the slice ``sample[k]`` of ``blob``.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    known = _known.get(id(vocabulary)) or Known(np.zeros(0, dtype=np.uint64), none, none, none, np.zeros(0, dtype=np.int32))
+    length = sizes[sample]
+    place = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0))
+    hit = (known.hashes[place] == hashes) & (known.length[place] == length) if len(known.hashes) else np.zeros(len(hashes), dtype=bool)
+    new = np.flatnonzero(~hit)
+    words, first = _spread(blob, np.concatenate(([0], np.cumsum(sizes))), sample[new])
+    made, ends = replay(vocabulary, words, first)
+    start, size = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+    start[hit], size[hit] = known.start[place[hit]], known.size[place[hit]]
+    start[new], size[new] = ends[:-1] + len(known.ids), np.diff(ends)
+    ids = np.concatenate((known.ids, made))
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    flat = ids[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]
+    if len(known.hashes) + len(new) > MOST_KNOWN:
+        _known[id(vocabulary)] = Known(hashes, length, offsets[:-1], size, flat)
+    else:
+        both = np.concatenate((known.hashes, hashes[new]))
+        order = np.argsort(both, kind="stable")
+        pick = lambda old, own: np.concatenate((old, own[new]))[order]
+        _known[id(vocabulary)] = Known(both[order], pick(known.length, length), pick(known.start, start), pick(known.size, size), ids)
+    return flat, offsets
+
+
 def encode_texts(vocabulary: Vocabulary, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets) by row ranges; the merges run once over all words."""
     parts, hashes, blobs, sizes = [], [], [], []
@@ -229,10 +273,8 @@ def encode_texts(vocabulary: Vocabulary, texts: pa.Array) -> Iterator[tuple[int,
         sizes.append(np.diff(out))
     if not parts:
         return
-    _, sample, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    at = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-    words, first = _spread(np.concatenate(blobs), at, sample)
-    ids, offsets = replay(vocabulary, words, first)
+    distinct, sample, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    ids, offsets = _ids_of(vocabulary, distinct, np.concatenate(sizes), np.concatenate(blobs), sample)
     base = 0
     for (lo, hi, local, rows), own in zip(parts, hashes):
         flat, out = _spread(ids, offsets, inverse[base : base + len(own)][local])
@@ -279,7 +321,8 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
     ``round_trip`` says that decoding the ids gives back the text, byte for byte.
     Special tokens' strings are ordinary text.  Defined cases: a null text has null
     ids, count and round trip; an empty one no ids; texts are encoded whole; equal
-    rows get equal ids.  ``path`` must be readable on every executor.
+    rows get equal ids; an empty table has no rows.  Other columns, whatever their
+    names, are not read.  ``path`` must be readable on every executor.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.int32())

@@ -60,3 +60,16 @@ def test_token_counts_are_those_of_the_ids(make_docs):
     docs = make_docs([*enumerate(samples(50)), (99, None)])
     want = {r["doc_id"]: r["n_tokens"] for r in byte_bpe.encode(docs).collect()}
     assert {r["doc_id"]: r["n"] for r in docs.select("doc_id", byte_bpe.token_count(docs["text"]).alias("n")).collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, 40, 1 << 21])
+def test_what_a_worker_has_met_does_not_matter(monkeypatch, most):
+    vocabulary = byte_bpe.load(byte_bpe.TOKENIZER)
+    monkeypatch.setattr(byte_bpe, "MOST_KNOWN", most)
+    texts = samples(300)
+    run = lambda part: [ids[at[k] : at[k + 1]].tolist() for lo, hi, ids, at in byte_bpe.encode_texts(vocabulary, pa.array(part)) for k in range(hi - lo)]
+    byte_bpe._known.clear()
+    want = [run([t])[0] for t in texts if byte_bpe._known.clear() is None]
+    byte_bpe._known.clear()
+    got = [ids for lo in range(0, len(texts), 7) for ids in run(texts[lo : lo + 7])]
+    assert got == want and run(texts) == want and run(texts) == want
