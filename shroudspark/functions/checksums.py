@@ -63,15 +63,17 @@ def valid_medicare(value: Column) -> Column:
 
 def complete_acn(stem: Column) -> Column:
     """Eight digits with their check digit; null for another length."""
-    d = only_digits(stem)
-    return F.when(F.length(d) == 8, F.concat(d, acn_check(d).cast("string")))
+    return let(only_digits(stem), lambda d: F.when(F.length(d) == 8, F.concat(d, acn_check(d).cast("string"))))
 
 
 def complete_medicare(stem: Column, issue: int = 1) -> Column:
     """Eight digits that begin with 2 to 6, the check digit and the issue number; else null."""
-    d = only_digits(stem)
-    fits = (F.length(d) == 8) & _at(d, 1).between(2, 6)
-    return F.when(fits, F.concat(d, (weighted(d, _MEDICARE) % 10).cast("string"), F.lit(str(issue))))
+
+    def whole(d: Column) -> Column:
+        fits = (F.length(d) == 8) & _at(d, 1).between(2, 6)
+        return F.when(fits, F.concat(d, (weighted(d, _MEDICARE) % 10).cast("string"), F.lit(str(issue))))
+
+    return let(only_digits(stem), whole)
 
 
 def mint(start: Column, valid, tries: int, width: int) -> Column:
@@ -83,7 +85,7 @@ def mint(start: Column, valid, tries: int, width: int) -> Column:
 def spaced(digits: Column, groups: Sequence[int]) -> Column:
     """Digits in groups of the given sizes."""
     starts = [1 + sum(groups[:k]) for k in range(len(groups))]
-    return F.concat_ws(" ", *(F.substring(digits, s, n) for s, n in zip(starts, groups)))
+    return let(digits, lambda d: F.concat_ws(" ", *(F.substring(d, s, n) for s, n in zip(starts, groups))))
 
 
 def valid_card(value: Column) -> Column:

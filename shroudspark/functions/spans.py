@@ -29,8 +29,8 @@ def _total(lengths: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """The text without the two signs that mark matches; no offset changes."""
-    marks = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_PART))
-    return F.when(marks, F.translate(text, _MARK + _PART, "\ufffd\ufffd")).otherwise(text)
+    marks = lambda t: F.contains(t, F.lit(_MARK)) | F.contains(t, F.lit(_PART))
+    return let(text, lambda t: F.when(marks(t), F.translate(t, _MARK + _PART, "\ufffd\ufffd")).otherwise(t))
 
 
 def marked(text: Column, pattern: str, groups: int = 0) -> Column:

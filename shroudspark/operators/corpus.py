@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroudspark.functions import checksums
+from shroudspark.functions.spans import let
 
 #: Rows of a document before the next begins.
 ROWS = 60
@@ -22,18 +23,16 @@ def _digits(row: Column, salt: int, width: int) -> Column:
 
 
 def _abn(row: Column) -> Column:
-    tail = _digits(row, 1, 9)
-    lead = 99 - checksums.weighted(tail, range(3, 20, 2)) % 89
-    return checksums.spaced(F.concat(lead.cast("string"), tail), (2, 3, 3, 3))
+    lead = lambda tail: 99 - checksums.weighted(tail, range(3, 20, 2)) % 89
+    return checksums.spaced(let(_digits(row, 1, 9), lambda tail: F.concat(lead(tail).cast("string"), tail)), (2, 3, 3, 3))
 
 
 def _tfn(row: Column) -> Column:
     """The last weight is 10, which is -1 modulo 11; a sum that asks for the digit 10 gets another first digit."""
-    stem = _digits(row, 2, 8)
     sums = lambda s: checksums.weighted(s, (1, 4, 3, 7, 5, 8, 6, 9)) % 11
-    other = F.concat((F.substring(stem, 1, 1).cast("int") % 9 + 1).cast("string"), F.substring(stem, 2, 7))
-    good = F.when(sums(stem) < 10, stem).otherwise(other)
-    return checksums.spaced(F.concat(good, sums(good).cast("string")), (3, 3, 3))
+    other = lambda stem: F.concat((F.substring(stem, 1, 1).cast("int") % 9 + 1).cast("string"), F.substring(stem, 2, 7))
+    good = let(_digits(row, 2, 8), lambda stem: F.when(sums(stem) < 10, stem).otherwise(other(stem)))
+    return checksums.spaced(let(good, lambda g: F.concat(g, sums(g).cast("string"))), (3, 3, 3))
 
 
 def _card(row: Column) -> Column:
@@ -43,9 +42,8 @@ def _card(row: Column) -> Column:
 
 
 def _iban(row: Column) -> Column:
-    account = _digits(row, 4, 18)
-    rest = F.concat(account, F.lit("131400")).cast("decimal(24,0)") % 97
-    return F.concat(F.lit("DE"), F.lpad((98 - rest).cast("int").cast("string"), 2, "0"), account)
+    rest = lambda account: F.concat(account, F.lit("131400")).cast("decimal(24,0)") % 97
+    return let(_digits(row, 4, 18), lambda account: F.concat(F.lit("DE"), F.lpad((98 - rest(account)).cast("int").cast("string"), 2, "0"), account))
 
 
 def _items(row: Column) -> list[tuple[str, str, str, Column, str]]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ class Detector:
     score: float
     valid: Callable[[Column], Column] | None = None
     cheap: Callable[[Column], Column] | None = None
+    signs: tuple[str, ...] = ()  # in small letters; without any of them there is no match
     flags: str = ""
     groups: int = 0  # of the pattern, that follow each match for ``longer``
     longer: Callable[[Column, Column], Column] | None = None  # (value and score) of a match, from its value and groups
@@ -43,7 +45,7 @@ class Detector:
         """The text with the matches marked; null where context or the cheap test rule it out."""
         flags = self.flags + ("U" if settings.unicode else "")
         out = spans.marked(text, f"(?{flags}){self.pattern}" if flags else self.pattern, self.groups)
-        tests = [contains_any(low, words)] if (words := settings.context.get(self.type)) else []
+        tests = [contains_any(low, words) for words in (settings.context.get(self.type), self.signs) if words]
         if self.cheap is not None:
             tests.append(self.cheap(text))
         for test in tests[::-1]:
@@ -153,7 +155,9 @@ def _whole_address(value: Column, groups: Column) -> Column:
     return spans.let(used, lambda u: F.struct(F.concat(value, u).alias("value"), F.when(u != "", F.lit(0.85)).otherwise(F.lit(0.4)).alias("score")))
 
 
-_STREETS = Detector("AU_ADDRESS", _ADDRESS, 0.4, cheap=lambda t: t.rlike(rf"\b(?:{_STREET_TYPES})\b"), groups=4, longer=_whole_address)
+_STREETS = Detector(
+    "AU_ADDRESS", _ADDRESS, 0.4, cheap=lambda t: t.rlike(r"[0-9][A-Za-z]?\s+[A-Z]") & t.rlike(rf"\b(?:{_STREET_TYPES})\b"), groups=4, longer=_whole_address
+)
 #: Branch codes are found as spans of no type, of which only accounts make use.
 _BRANCH = ""
 
@@ -178,14 +182,10 @@ def detectors(settings: Settings) -> list[Detector]:
     if settings.wants("AU_ADDRESS"):
         out.append(_STREETS)
     if settings.wants("CREDENTIAL"):
-        out += [Detector("CREDENTIAL", pattern, score, cheap=_low(*signs), flags="ism") for pattern, score, signs in SECRETS]
+        out += [Detector("CREDENTIAL", pattern, score, signs=signs, flags="ism") for pattern, score, signs in SECRETS]
     return out + [d for d in settings.extra if settings.wants(d.type)]
 
 
-def _low(*signs: str) -> Callable[[Column], Column]:
-    return lambda text: contains_any(F.lower(text), signs)
-
-
 def phone_survives(value: Column, low: Column) -> Column:
     """Whether a number without letters is a phone number rather than an amount or an id."""
     strong = value.rlike(r"^\s*(?:\+[0-9]|\([0-9]{2,3}\)|0[2-478]|1[38]00)")
@@ -259,9 +259,25 @@ def span_column(text: Column, settings: Settings = Settings(), model: Callable[[
     return F.coalesce(spans.let(spans.plain(text), lambda t: spans.let(F.lower(t), lambda low: of(t, low))), F.expr(spans.NO_SPANS))
 
 
+_made: dict[tuple, Column] = {}
+_IN = "__text_in"
+
+
+def _made_once(settings: Settings) -> Column:
+    """``span_column`` of ``_IN``; to make it takes the driver longer than many a table does."""
+    key = (id(SparkContext._active_spark_context), repr(settings))
+    if key not in _made:
+        if len(_made) > 64:
+            _made.clear()
+        _made[key] = span_column(F.col(_IN), settings)
+    return _made[key]
+
+
 def with_spans(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), model: Callable[[Column], Column] | None = None, out: str = "spans") -> DataFrame:
     """``df`` with a column of spans; null texts have none."""
-    return df.withColumn(out, F.coalesce(span_column(F.col(text_col), settings, model), F.expr(spans.NO_SPANS)))
+    if model is not None or settings.extra:
+        return df.withColumn(out, span_column(F.col(text_col), settings, model))
+    return df.withColumn(_IN, F.col(text_col)).withColumn(out, _made_once(settings)).drop(_IN)
 
 
 def detect(df: DataFrame, keys: list[str], text_col: str = "text", settings: Settings = Settings(), model: Callable[[Column], Column] | None = None) -> DataFrame:
