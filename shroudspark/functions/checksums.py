@@ -82,6 +82,29 @@ def mint(start: Column, valid, tries: int, width: int) -> Column:
     return F.try_element_at(F.filter(numbers, valid), F.lit(1))
 
 
+#: Two last digits of a business number, in order, by the remainder that they have to give.
+_ABN_ENDS = tuple(tuple(n for n in range(100) if (_ABN[9] * (n // 10) + _ABN[10] * (n % 10)) % 89 == rest) for rest in range(89))
+
+
+def mint_abn(start: Column, tries: int) -> Column:
+    """``mint`` of business numbers, for ``start`` a ``bigint``: the last two digits follow from the nine before.
+
+    So a hundred numbers cost one sum and a look at the ends that give its remainder.
+    Starts that leave eleven digits are searched, where anything valid is left at all.
+    """
+    low = start - F.pmod(start, F.lit(100))
+    known = F.array(*(F.array(*map(F.lit, ends)) if ends else F.expr("CAST(array() AS array<int>)") for ends in _ABN_ENDS))
+
+    def of(base: Column) -> Column:
+        rest = F.pmod(_ABN[0] - weighted(F.lpad(base.cast("string"), 11, "0"), _ABN[:9]), F.lit(89))
+        return F.transform(F.get(known, rest), lambda end: base + end)
+
+    hundreds = F.transform(F.sequence(F.lit(0), F.lit((tries + 98) // 100)), lambda k: low + k * 100)
+    numbers = F.filter(F.flatten(F.transform(hundreds, of)), lambda n: n.between(start, start + tries - 1))
+    found = F.lpad(F.try_element_at(numbers, F.lit(1)).cast("string"), 11, "0")
+    return F.when((start >= 0) & (start <= 10**11 - tries), found).otherwise(mint(start, valid_abn, tries, 11))
+
+
 def spaced(digits: Column, groups: Sequence[int]) -> Column:
     """Digits in groups of the given sizes."""
     starts = [1 + sum(groups[:k]) for k in range(len(groups))]

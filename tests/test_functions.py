@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shroudspark.functions import checksums, spans, text
+from shroudspark.plans import queries
 
 
 def values(spark, rows, *columns):
@@ -45,6 +47,28 @@ def test_minting_finds_the_first_valid_number(spark):
     assert tuple(df.first()) == ("51824753556", None)
 
 
+def test_minted_business_numbers_are_those_of_a_search(spark):
+    starts = [0, 5, 51824753550, 51824753557, 10**11 - 1, 10**11 - 30, 10**11 - 400, 10**11 + 7, 10**11 + 10**9, -3, None, *(random.Random(2).randrange(10**11) for _ in range(40))]
+    df = spark.createDataFrame([(s,) for s in starts], "s bigint").repartition(4)
+    for tries in (1, 2, 100, 101, 400):
+        wrong = df.filter(~checksums.mint_abn(F.col("s"), tries).eqNullSafe(checksums.mint(F.col("s"), checksums.valid_abn, tries, 11)))
+        assert wrong.collect() == []
+
+
+def test_minting_takes_no_longer_by_the_tries(spark):
+    """By search these are 80 million numbers, some minutes of work."""
+    began = time.perf_counter()
+    starts = spark.range(200_000).select((F.col("id") * 1000 + 10**10).alias("s"))
+    assert starts.select(F.explode_outer(F.array(checksums.mint_abn(F.col("s"), 400))).alias("n")).agg(F.count("n")).first()[0] > 100_000
+    assert time.perf_counter() - began < 30
+
+
+def test_minting_gives_a_row_for_each_key(spark, tmp_path):
+    spark.createDataFrame([(1,), (1,), (2,), (None,)], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = queries.abn_mint_search(spark, str(tmp_path)).collect()
+    assert len(rows) == len({r["c_custkey"] for r in rows}) > 0 and all(r["c_custkey"] for r in rows)
+
+
 def test_normal_forms(spark):
     got = values(
         spark,
