@@ -122,3 +122,24 @@ def test_scores_equal_brute_force(spark):
     assert card["f1"] == round(2 * card["precision"] * card["recall"] / (card["precision"] + card["recall"]), 3)
     none = spark.createDataFrame([], found.schema)
     assert evaluate.scorecard(items, none).first()["f1"] == 0.0
+
+
+@pytest.mark.parametrize("most", [0, 60, 256])
+def test_scores_are_those_of_brute_force_in_small_and_large_documents(spark, monkeypatch, most):
+    """Only documents with more values and texts than are paired are cut into pieces."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(0, 9)))
+    key = [(d, "A", word(), "detect", "") for d in "d" * 40 + "e" * 9 + "g"] + [("e", "A", None, "gap", ""), (None, "A", "ab", "gap", "")]
+    seen = [(d, "X", word()) for d in "d" * 40 + "e" * 9 + "f"] + [("e", "X", None), (None, "X", "ab")]
+    items = spark.createDataFrame(key, "document string, type string, value string, expected string, note string").repartition(3)
+    found = spark.createDataFrame(seen, "document string, entity_type string, text string").repartition(3)
+    cut, pieces = [], evaluate._pieces
+    monkeypatch.setattr(evaluate, "MOST_PAIRED", most)
+    monkeypatch.setattr(evaluate, "_pieces", lambda rows, *a: cut.append({r[0] for r in rows.select("document").distinct().collect()}) or pieces(rows, *a))
+    ok = lambda k, d: None not in (k[0], k[2], d[2]) and k[0] == d[0]
+    holds = lambda k, d, least: ok(k, d) and (0 < len(k[2]) and k[2] in d[2] or len(d[2]) >= least and d[2] in k[2])
+    got = evaluate.caught(items, found).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((*k, any(holds(k, d, 4) for d in seen))) for k in key)
+    wrong = [d for d in seen if not any(holds(k, d, 1) for k in key)]
+    assert sorted(map(str, map(tuple, evaluate.false_positives(items, found).collect()))) == sorted(map(str, wrong))
+    assert set().union(*cut) == {0: {"d", "e", "f", "g"}, 60: {"d"}, 256: set()}[most]
