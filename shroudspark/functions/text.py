@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shroudspark.functions.spans import let
+
 #: Words that say what legal form a company has; they don't tell companies apart.
 LEGAL_WORDS = ("co", "inc", "limited", "ltd", "p/l", "pl", "proprietary", "pty")
 
@@ -14,7 +16,8 @@ LEGAL_WORDS = ("co", "inc", "limited", "ltd", "p/l", "pl", "proprietary", "pty")
 def normalize_ws(text: Column) -> Column:
     """White space, also as non-breaking spaces or ``_x000A_`` escapes of workbooks, becomes single spaces."""
     plain = F.regexp_replace(text, "_x00[01][0-9A-Fa-f]_|\u00a0", " ")
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    # Single spaces, most of what there is, don't match.
+    return F.trim(F.regexp_replace(plain, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def only_digits(text: Column) -> Column:
@@ -44,10 +47,20 @@ _FOLDS: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Any of them, tried in one pass.
+_ANY_FOLD = r"\b(?:" + "|".join(pattern.removeprefix(r"\b") for pattern, _ in _FOLDS) + ")"
+
+
+def folded(low: Column) -> Column:
+    """The canonical form of a text in small letters and single spaces; null where it is that text itself."""
+    start = F.concat(F.lit(" "), low, F.lit(" "))
+    whole = normalize_ws(reduce(lambda t, f: F.regexp_replace(t, f[0], f" {f[1]} "), _FOLDS, start))
+    return F.when(F.contains(low, F.lit("_x00")) | low.rlike(_ANY_FOLD), whole)
+
+
 def canonicalize(text: Column) -> Column:
     """Lower case, single spaces, and one spelling for each legal form and common abbreviation."""
-    start = F.concat(F.lit(" "), F.lower(normalize_ws(text)), F.lit(" "))
-    return normalize_ws(reduce(lambda t, f: F.regexp_replace(t, f[0], f" {f[1]} "), _FOLDS, start))
+    return let(F.lower(normalize_ws(text)), lambda low: F.coalesce(folded(low), low))
 
 
 def distinctive_words(name: Column) -> Column:

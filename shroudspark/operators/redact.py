@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
 from shroudspark.functions import spans
-from shroudspark.functions.text import canonicalize, forbidden_forms, normalize_ws
+from shroudspark.functions.literals import Literals
+from shroudspark.functions.text import canonicalize, folded, forbidden_forms, normalize_ws
 from shroudspark.operators.detect import with_spans
 
 
@@ -31,11 +33,12 @@ def leaks(text: Column, form: Column) -> Column:
     return F.contains(F.lower(normalize_ws(text)), form) | F.contains(canonicalize(text), form)
 
 
-def leaking(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most_broadcast: int = 8 << 20) -> DataFrame:
-    """Rows of ``df`` whose text gives a term away: a form is part of one of its normal forms.
+def flagged(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most_broadcast: int = 8 << 20, out: str = "leaks") -> DataFrame:
+    """``df`` with a column ``out``: whether the text gives a term away, that is, a form is part of one of its normal forms.
 
     The forms' size is looked up first.  Up to ``most_broadcast`` bytes they are sent to
-    every executor as one array; beyond it the two sides meet on pieces: a form can be
+    every executor, where a pass over a text looks for all of them at once; only texts
+    with a word to fold have a second normal form.  Beyond it the two sides meet on pieces: a form can be
     part of a text only if the text holds the form's first four characters.  Pieces go
     with fingerprints of the texts, not with the texts, which meet the forms that they
     may hold once.  Forms of fewer characters are no more than there are such strings.
@@ -43,11 +46,13 @@ def leaking(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: s
     listed = forms(terms, term_col)
     size = listed.agg(F.sum(F.octet_length("form"))).first()[0] or 0
     text = F.col(f"`{text_col}`")
-    holds = lambda form: F.contains(F.col("__norm"), form) | F.contains(F.col("__canon"), form)
-    prepared = df.withColumns({"__norm": F.lower(normalize_ws(text)), "__canon": canonicalize(text)})
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    prepared = df.withColumn("__norm", F.lower(normalize_ws(text)))
     if size <= most_broadcast:
-        array = F.broadcast(listed.agg(F.collect_list("form").alias("__forms")))
-        return prepared.crossJoin(array).filter(F.exists("__forms", holds)).drop("__norm", "__canon", "__forms")
+        held = _holder(Literals(r["form"] for r in listed.collect()))
+        return prepared.withColumn("__canon", folded(F.col("__norm"))).select(*kept, held("__norm", "__canon").alias(out))
+    prepared = prepared.withColumn("__canon", F.coalesce(folded(F.col("__norm")), "__norm"))
+    holds = lambda form: F.contains(F.col("__norm"), form) | F.contains(F.col("__canon"), form)
     width = 4
     long, few = F.length("form") >= width, listed.filter(F.length("form") < width)
     texts = prepared.filter(text.isNotNull()).select("__norm", "__canon").withColumns({"__h1": F.xxhash64("__norm", "__canon"), "__h2": F.xxhash64(F.lit(1), "__norm", "__canon")}).distinct()
@@ -57,7 +62,23 @@ def leaking(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: s
     met = texts.join(may, ["__h1", "__h2"]).filter(holds(F.col("form"))).select("__norm", "__canon")
     short = F.broadcast(few.agg(F.collect_list("form").alias("__forms")))
     tiny = texts.crossJoin(short).filter(F.exists("__forms", holds)).select("__norm", "__canon")
-    return prepared.join(met.union(tiny).distinct(), ["__norm", "__canon"], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    hit = met.union(tiny).distinct().withColumn("__hit", F.lit(True))
+    return prepared.join(hit, ["__norm", "__canon"], "left").select(*kept, F.coalesce("__hit", F.lit(False)).alias(out))
+
+
+def _holder(literals: Literals):
+    """Whether one of two texts, each of which may be null, holds one of the strings."""
+
+    @F.arrow_udf("boolean")
+    def held(first: pa.Array, second: pa.Array) -> pa.Array:
+        return pa.array(literals.held(first) | literals.held(second))
+
+    return held
+
+
+def leaking(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most_broadcast: int = 8 << 20) -> DataFrame:
+    """Rows of ``df`` whose text gives a term away (``flagged``)."""
+    return flagged(df, terms, text_col, term_col, most_broadcast, "__leaks").filter("__leaks").drop("__leaks")
 
 
 def value_free(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:

@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
+from shroudspark.functions import text
+from shroudspark.functions.literals import Literals
 from shroudspark.operators import detect, known, redact, scan
-from shroudspark.plans import queries
+from shroudspark.plans import detail, queries
 
 
 def found(spark, texts, settings=Settings(), **more):
@@ -116,6 +121,53 @@ def test_leaks_in_every_spelling(spark):
     assert redact.value_free(texts, terms).first()["value_free"] is False
 
 
+def test_many_literals_are_found_as_by_brute_force():
+    """Widths of every kind, empty and null texts, signs of several bytes, texts over the border of a chunk, slices."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    for strings in ([], ["", "b"], [word(n) for n in (1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 80, 200)] * 2, [word(12) for _ in range(300)], ["a" * 40, "a" * 33 + "b", "b" + "a" * 32]):
+        texts = [None, "", "a" * 39, "", *(word(rng.randrange(60)) for _ in range(300)), *(word(9) + s[: rng.randrange(1, len(s) + 2)] + word(9) for s in strings if s for _ in range(3)), None]
+        rng.shuffle(texts)
+        want = [t is not None and any(s and s in t for s in strings) for t in texts]
+        assert Literals(strings).held(pa.array(texts, pa.string())).tolist() == want
+        assert Literals(strings).held(pa.array(texts, pa.string()).slice(7)).tolist() == want[7:]
+    long = "x" * (1 << 20)
+    texts = [long[:-k] + "needle in the hay, which is long enough" + long for k in (1, 20, 38)] + [long[:-5] + "needle in the", " hay, which is long enough"]
+    assert Literals(["needle in the hay, which is long enough"]).held(pa.array(texts)).tolist() == [True] * 3 + [False] * 2
+
+
+def test_leak_checks_take_no_longer_by_the_terms(spark):
+    """Term by term these are 8 GB of text to go through."""
+    terms = spark.range(4_000).select(F.concat(F.lit("the secret of number "), F.col("id"), F.lit(" is kept")).alias("term"))
+    texts = spark.range(0, 400, 1, 4).select(F.col("id").alias("k"), F.concat(F.repeat(F.lit("a secret of number 5 is kept; "), 170), F.when(F.col("id") % 100 == 0, "The  Secret of number 77 is kept")).alias("t"), F.repeat(F.lit("a secret of number 5 is kept; "), 170).alias("u"))
+    began = time.perf_counter()
+    texts = texts.select("k", F.coalesce("t", "u").alias("text"))
+    assert sorted(r["k"] for r in redact.leaking(texts, terms).collect()) == [0, 100, 200, 300]
+    assert time.perf_counter() - began < 12
+
+
+def test_documents_are_read_once_for_both_parts(spark, tmp_path):
+    item = "quoted words of an item"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows, want in (([(None, f"x {item}"), (1, "none"), (2, None)], {"all": False, "without": True}), ([(1, "none")], {"all": True, "without": True}), ([], {"all": None, "without": True})):
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        got = detail.value_free_texts(spark, str(tmp_path))
+        assert {r["part"]: r["value_free"] for r in got.collect()} == want
+        assert got._jdf.queryExecution().executedPlan().toString().count("documents.parquet") <= 1
+
+
+def test_folding_only_where_there_is_something_to_fold(spark):
+    texts = ["A  Plain\ttext", "p / l", "x_X000A_y", "au", "LTD.", "aust", "Proprietary\nLimited", "pl.", "hldg", "noms", "ptyltd", " \u00a0 a\u2003b ", "", None, "pty/ltd", "\u3000", "_x00_x000a_0A_"]
+    low = F.lower(F.trim(F.regexp_replace(F.regexp_replace("t", "_x00[01][0-9A-Fa-f]_|\u00a0", " "), r"(?U)\s+", " ")))
+    whole = text._FOLDS
+    full = F.concat(F.lit(" "), low, F.lit(" "))
+    for pattern, to in whole:
+        full = F.regexp_replace(full, pattern, f" {to} ")
+    full = F.trim(F.regexp_replace(F.regexp_replace(full, "_x00[01][0-9A-Fa-f]_|\u00a0", " "), r"(?U)\s+", " "))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~text.canonicalize(F.col("t")).eqNullSafe(full) | ~F.lower(text.normalize_ws(F.col("t"))).eqNullSafe(low)).collect() == []
+
+
 def test_scan_reports_no_value(spark):
     docs = spark.createDataFrame([("a", "x\nTFN 123 456 782\na@b.example.com"), ("b", "1\n2\n3\n4")], "doc_id string, text string")
     segments = scan.line_segments(docs)
