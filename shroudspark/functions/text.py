@@ -13,9 +13,18 @@ from shroudspark.functions.spans import let
 LEGAL_WORDS = ("co", "inc", "limited", "ltd", "p/l", "pl", "proprietary", "pty")
 
 
+#: What escapes begin with.
+ESCAPE = "_x00"
+_ESCAPES = "_x00[01][0-9A-Fa-f]_|\u00a0"
+
+
 def normalize_ws(text: Column) -> Column:
     """White space, also as non-breaking spaces or ``_x000A_`` escapes of workbooks, becomes single spaces."""
-    plain = F.regexp_replace(text, "_x00[01][0-9A-Fa-f]_|\u00a0", " ")
+    # Few texts have an escape, and to look for its signs takes a tenth of what the pattern takes.
+    return _single_spaces(F.when(contains_any(text, (ESCAPE, "\u00a0")), F.regexp_replace(text, _ESCAPES, " ")).otherwise(text))
+
+
+def _single_spaces(plain: Column) -> Column:
     # Single spaces, most of what there is, don't match.
     return F.trim(F.regexp_replace(plain, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
@@ -47,6 +56,8 @@ _FOLDS: tuple[tuple[str, str], ...] = (
 )
 
 
+#: What they make of words.
+_FOLDED = frozenset(to for _, to in _FOLDS)
 #: Any of them, tried in one pass.
 _ANY_FOLD = r"\b(?:" + "|".join(pattern.removeprefix(r"\b") for pattern, _ in _FOLDS) + ")"
 
@@ -54,8 +65,35 @@ _ANY_FOLD = r"\b(?:" + "|".join(pattern.removeprefix(r"\b") for pattern, _ in _F
 def folded(low: Column) -> Column:
     """The canonical form of a text in small letters and single spaces; null where it is that text itself."""
     start = F.concat(F.lit(" "), low, F.lit(" "))
-    whole = normalize_ws(reduce(lambda t, f: F.regexp_replace(t, f[0], f" {f[1]} "), _FOLDS, start))
-    return F.when(F.contains(low, F.lit("_x00")) | low.rlike(_ANY_FOLD), whole)
+    # As in normalize_ws, but the text, which is long as an expression, stands there once.
+    whole = _single_spaces(F.regexp_replace(reduce(lambda t, f: F.regexp_replace(t, f[0], f" {f[1]} "), _FOLDS, start), _ESCAPES, " "))
+    return F.when(F.contains(low, F.lit(ESCAPE)) | low.rlike(_ANY_FOLD), whole)
+
+
+def unfolded_part(form: str) -> str | None:
+    """What a normal form must hold if its canonical form holds ``form`` only by folding; null where folding can't bring that about.
+
+    Words are folded to ``_FOLDED``, each with spaces around it, and all between them stays
+    as it is.  So a form that is there by folding has one of these as a word, or begins or
+    ends within one, and the words between those that may be such stand in the text.  The
+    longest run of them is returned; it may be empty.  Texts with an ``ESCAPE`` are apart:
+    a normal form may hold one, a canonical form doesn't.
+    """
+    words = form.split(" ")
+    last = len(words) - 1
+
+    def may_be(k: int, word: str) -> bool:
+        if last == 0:
+            return any(word in to for to in _FOLDED)
+        return word in _FOLDED or (k == 0 and any(to.endswith(word) for to in _FOLDED)) or (k == last and any(to.startswith(word) for to in _FOLDED))
+
+    runs: list[list[str]] = [[]]
+    for k, word in enumerate(words):
+        if may_be(k, word):
+            runs.append([])
+        else:
+            runs[-1].append(word)
+    return None if len(runs) == 1 else max((" ".join(run) for run in runs), key=len)
 
 
 def canonicalize(text: Column) -> Column:

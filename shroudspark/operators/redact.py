@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroudspark.config import Settings
 from shroudspark.functions import spans
 from shroudspark.functions.literals import Literals
-from shroudspark.functions.text import canonicalize, folded, forbidden_forms, normalize_ws
+from shroudspark.functions.text import ESCAPE, canonicalize, folded, forbidden_forms, normalize_ws, unfolded_part
 from shroudspark.operators.detect import with_spans
 
 
@@ -37,8 +39,9 @@ def flagged(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: s
     """``df`` with a column ``out``: whether the text gives a term away, that is, a form is part of one of its normal forms.
 
     The forms' size is looked up first.  Up to ``most_broadcast`` bytes they are sent to
-    every executor, where a pass over a text looks for all of them at once; only texts
-    with a word to fold have a second normal form.  Beyond it the two sides meet on pieces: a form can be
+    every executor, where a pass over a text looks for all of them at once.  Words are
+    folded, and a second pass made, only where that can matter: in texts that hold the
+    unfolded part of a form with a word that folding makes.  Beyond it the two sides meet on pieces: a form can be
     part of a text only if the text holds the form's first four characters.  Pieces go
     with fingerprints of the texts, not with the texts, which meet the forms that they
     may hold once.  Forms of fewer characters are no more than there are such strings.
@@ -49,8 +52,14 @@ def flagged(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: s
     kept = [F.col(f"`{c}`") for c in df.columns]
     prepared = df.withColumn("__norm", F.lower(normalize_ws(text)))
     if size <= most_broadcast:
-        held = _holder(Literals(r["form"] for r in listed.collect()))
-        return prepared.withColumn("__canon", folded(F.col("__norm"))).select(*kept, held("__norm", "__canon").alias(out))
+        sought = [r["form"] for r in listed.collect()]
+        first, second = _seekers(sought)
+        norm, state = F.col("__norm"), F.col("__state")
+        # Generated, not projected: otherwise the normal form is worked out again for the canonical one.
+        prepared = df.select(*kept, F.inline(F.array(F.struct(F.lower(normalize_ws(text)).alias("__norm")))))
+        once = prepared.select(*kept, norm, first(norm).alias("__state"))
+        twice = once.select(*kept, state, F.when(state == _MAY_HOLD, folded(norm)).alias("__canon"))
+        return twice.select(*kept, ((state == _HOLDS) | second("__canon")).alias(out))
     prepared = prepared.withColumn("__canon", F.coalesce(folded(F.col("__norm")), "__norm"))
     holds = lambda form: F.contains(F.col("__norm"), form) | F.contains(F.col("__canon"), form)
     width = 4
@@ -66,14 +75,24 @@ def flagged(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: s
     return prepared.join(hit, ["__norm", "__canon"], "left").select(*kept, F.coalesce("__hit", F.lit(False)).alias(out))
 
 
-def _holder(literals: Literals):
-    """Whether one of two texts, each of which may be null, holds one of the strings."""
+_HOLDS_NOT, _HOLDS, _MAY_HOLD = 0, 1, 2
+
+
+def _seekers(sought: list[str]):
+    """Two functions of texts: whether a normal form holds one of the strings, or its canonical form may; and whether a canonical form, or null, holds one."""
+    parts = {unfolded_part(s) for s in sought} - {None}
+    whole, some, every = Literals(sought), Literals(parts), "" in parts
+
+    @F.arrow_udf("int")
+    def first(norm: pa.Array) -> pa.Array:
+        may = np.ones(len(norm), bool) if every else some.held(norm) | pc.match_substring(norm, ESCAPE).fill_null(False).to_numpy(False)
+        return pa.array(np.where(whole.held(norm), _HOLDS, np.where(may, _MAY_HOLD, _HOLDS_NOT)), pa.int32())
 
     @F.arrow_udf("boolean")
-    def held(first: pa.Array, second: pa.Array) -> pa.Array:
-        return pa.array(literals.held(first) | literals.held(second))
+    def second(canon: pa.Array) -> pa.Array:
+        return pa.array(whole.held(canon))
 
-    return held
+    return first, second
 
 
 def leaking(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most_broadcast: int = 8 << 20) -> DataFrame:

@@ -146,6 +146,37 @@ def test_leak_checks_take_no_longer_by_the_terms(spark):
     assert time.perf_counter() - began < 12
 
 
+def test_words_are_folded_only_where_a_form_may_come_of_it(spark, monkeypatch):
+    """Each text has words to fold; texts that can't hold a form by it, or hold one anyway, aren't folded."""
+    terms = spark.createDataFrame([("the quiet harbour of april",), ("Alder Creek Aust Limited",), ("lone a",)], "term string")
+    noise = "elle va au port, pl. de noms; " * 20
+    texts = [noise, f"{noise} the quiet HARBOUR of\tapril", f"a quiet harbour of april, {noise}", f"{noise}ALDER  creek au ltd", f"{noise}alder crook au ltd", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    real = redact.folded
+    monkeypatch.setattr(redact, "folded", lambda low: F.when(F.contains(low, F.lit("alder creek")), real(low)).otherwise(F.raise_error(F.lit("folded"))))
+    assert sorted(r["k"] for r in redact.leaking(df, terms).collect()) == [1, 3]
+
+
+def test_folded_forms_are_found_as_by_brute_force(spark):
+    """Forms with words that folding makes at either end, within, cut in two, alone and not at all; escapes within escapes."""
+    rng = random.Random(11)
+    words = ["pty", "ltd.", "Limited", "P/L", "p / l", "pl", "hldg", "hldgs", "holdings", "noms", "nominees", "aust.", "au", "australia", "ptyltd", "proprietary", "co", "a", "Alder", "creek", "é", "_x000A_", "_x00_x000A_1f_", "_x00", "0a_", ".", "\u00a0"]
+    line = lambda n: "".join(rng.choice(words) + rng.choice(["", " ", " ", " ", "  ", ".", "/", "\n", "-"]) for _ in range(n))
+    texts = [None, "", *(line(rng.randrange(1, 9)) for _ in range(400))]
+    cut = ["dings alder", "alder aus", "creek hol", "td. creek", "lia creek a", "nees", "ltd", "alder creek", "a", "alder ptyltd creek", "x alder holdings creek", "alder  creek nom", "_x00 creek", "alder au", "hold"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").cache()
+    for terms in (cut[:5], [cut[5]], cut[6:8], cut[8:9], cut[9:], [line(2) for _ in range(9)], [line(4) for _ in range(9)]):
+        listed = spark.createDataFrame([(t,) for t in terms], "term string")
+        want = df.join(redact.forms(listed), redact.leaks(F.col("text"), F.col("form"))).select("k").distinct()
+        got = redact.flagged(df, listed).filter("leaks")
+        assert sorted(r["k"] for r in got.select("k").collect()) == sorted(r["k"] for r in want.collect()), terms
+
+
+def test_unfolded_parts():
+    got = {f: text.unfolded_part(f) for f in ("the harbour", "alder holdings", "holdings", "lia the big creek ho", "a ltd b c ltd d", "lone a", "ldings", "xholdings")}
+    assert got == {"the harbour": None, "alder holdings": "alder", "holdings": "", "lia the big creek ho": "the big creek", "a ltd b c ltd d": "b c", "lone a": "lone", "ldings": "", "xholdings": None}
+
+
 def test_documents_are_read_once_for_both_parts(spark, tmp_path):
     item = "quoted words of an item"
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
