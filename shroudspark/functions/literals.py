@@ -13,23 +13,26 @@ _WIDTHS = (32, 16, 8)
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def _mixed(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` bytes from each word on; words follow each other."""
-    if width < 8:
-        return (words & np.uint64((1 << 8 * width) - 1)) * _MIX[0]
-    steps = width // 8
-    out = words[: len(words) - steps + 1] * _MIX[0]
-    for k in range(1, steps):
-        out += words[k : len(words) - steps + 1 + k] * _MIX[k]
+def _starts(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the first 8 of ``width`` bytes, or of all of fewer, of each word."""
+    return (words if width >= 8 else words & np.uint64((1 << 8 * width) - 1)) * _MIX[0]
+
+
+def _mixed(starts: np.ndarray, words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from the words at some places on; words follow each other."""
+    out = starts[at]
+    for k in range(1, width // 8):
+        out += words[at + k] * _MIX[k]
     return out
 
 
 class Literals:
     """Strings to look for, each known by an anchor: a window of 32, 16 or 8 of its bytes, or all of fewer.
 
-    Windows of a text at every byte are hashed by array operations and looked up in a
-    table of bits; what is left is compared with the whole strings.  An anchor is the
-    window that the fewest other strings have, of those that follow each other in a string.
+    At every byte of a text the beginning of a window is hashed by array operations and
+    looked up in a table of bits; where it is there, so is the window, and what is left is
+    compared with the whole strings.  An anchor is the window that the fewest other strings
+    have, of those that follow each other in a string and the last.
     """
 
     def __init__(self, strings: Iterable[str]):
@@ -38,17 +41,20 @@ class Literals:
             grouped.setdefault(next((w for w in _WIDTHS if len(raw) >= w), len(raw)), []).append(raw)
         self.groups = []
         for width, raws in sorted(grouped.items()):
-            starts = [range(0, len(raw) - width + 1, width) for raw in raws]
-            seen = Counter(raw[k : k + width] for raw, each in zip(raws, starts) for k in each)
+            windows = [sorted({*range(0, len(raw) - width + 1, width), len(raw) - width}) for raw in raws]
+            seen = Counter(raw[k : k + width] for raw, each in zip(raws, windows) for k in each)
             anchored: dict[int, list[tuple[int, bytes]]] = {}
-            for raw, each in zip(raws, starts):
+            begin = []
+            for raw, each in zip(raws, windows):
                 at = min(each, key=lambda k: seen[raw[k : k + width]])
                 words = np.frombuffer(raw[at : at + width].ljust(8, b"\0"), "<u8")
-                anchored.setdefault(int(_mixed(words, width)[0]), []).append((at, raw))
+                starts = _starts(words, width)
+                begin.append(starts[0])
+                anchored.setdefault(int(_mixed(starts, words, np.array([0]), width)[0]), []).append((at, raw))
             bits = min(max(16, (16 * len(anchored)).bit_length()), 26)
             keys = np.array(sorted(anchored), np.uint64)
             table = np.zeros(1 << bits, bool)
-            table[keys >> np.uint64(64 - bits)] = True
+            table[np.array(begin, np.uint64) >> np.uint64(64 - bits)] = True
             self.groups.append((width, np.uint64(64 - bits), table, keys, [anchored[k] for k in keys.tolist()]))
 
     def held(self, texts: pa.Array) -> np.ndarray:
@@ -64,15 +70,15 @@ class Literals:
             stop = min(begin + _CHUNK, int(ends[-1]))
             part = bytes(raw[begin : min(stop + 32, int(ends[-1]))]) + bytes(48)
             for shift in range(8):
-                words = np.frombuffer(part[shift:], "<u8", count=(len(part) - shift) // 8)
+                words = np.frombuffer(part, "<u8", (len(part) - shift) // 8, shift)
                 for width, down, table, keys, entries in self.groups:
-                    mixed = _mixed(words, width)
-                    found = np.flatnonzero(table[mixed >> down])
-                    at = np.searchsorted(keys, mixed[found])
-                    same = keys[np.minimum(at, len(keys) - 1)] == mixed[found]
+                    starts = _starts(words, width)
+                    found = np.flatnonzero(table.take((starts >> down).view(np.int64)))
+                    found = found[begin + shift + 8 * found < stop]
+                    mixed = _mixed(starts, words, found, width)
+                    at = np.searchsorted(keys, mixed)
+                    same = keys[np.minimum(at, len(keys) - 1)] == mixed
                     places, at = begin + shift + 8 * found[same], at[same]
-                    inside = places < stop
-                    places, at = places[inside], at[inside]
                     rows = np.searchsorted(ends, places, "right") - 1
                     new = ~hit[rows]
                     for row, place, k in zip(rows[new].tolist(), places[new].tolist(), at[new].tolist()):

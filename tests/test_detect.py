@@ -136,6 +136,14 @@ def test_many_literals_are_found_as_by_brute_force():
     assert Literals(["needle in the hay, which is long enough"]).held(pa.array(texts)).tolist() == [True] * 3 + [False] * 2
 
 
+def test_literals_of_one_beginning_are_told_apart_by_their_ends():
+    strings = [f"customer number {k:09d}" for k in range(3_000)]
+    literals = Literals(strings)
+    assert max(len(entries) for *_, each in literals.groups for entries in each) == 1
+    texts = [f"of customer number {k:09d}." for k in (0, 2_999, 3_000)] + ["customer number 00000299", "x" * 40]
+    assert literals.held(pa.array(texts)).tolist() == [True, True, False, False, False]
+
+
 def test_leak_checks_take_no_longer_by_the_terms(spark):
     """Term by term these are 8 GB of text to go through."""
     terms = spark.range(4_000).select(F.concat(F.lit("the secret of number "), F.col("id"), F.lit(" is kept")).alias("term"))
